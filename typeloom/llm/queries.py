@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import chat_format, line_dedup, url_filter
+from typeloom.llm import chat_format, decontaminate, line_dedup, media, near_dup, url_filter
 from typeloom.llm.common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), spans=False)
+    return decontaminate.digest(found)
+
+
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.digest(near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -36,4 +45,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op5_line_dedup, op7_chat_format)}
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_near_dup, op4_url_filter, op5_line_dedup, op7_chat_format, op9_media)}
