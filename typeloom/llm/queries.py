@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import chat_format, decontaminate, line_dedup, media, near_dup, url_filter
+from typeloom.llm import bpe, chat_format, decontaminate, line_dedup, media, near_dup, url_filter
 from typeloom.llm.common import table
 
 
@@ -49,4 +49,11 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_near_dup, op4_url_filter, op5_line_dedup, op7_chat_format, op9_media)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_near_dup, op4_url_filter, op5_line_dedup, op7_chat_format, op9_media, op10_bpe)}
