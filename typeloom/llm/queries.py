@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import bpe, chat_format, decontaminate, line_dedup, media, near_dup, url_filter
+from typeloom.llm import bpe, chat_format, decontaminate, html_text, line_dedup, media, near_dup, toxicity, url_filter
 from typeloom.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "n_near", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.sql("SELECT bigint(-1) conv_id, bigint(turn) turn, role, '</s>[INST] ok [/INST]' text FROM VALUES (0, 'user'), (1, 'assistant') t(turn, role)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -45,6 +49,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,4 +64,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_near_dup, op4_url_filter, op5_line_dedup, op7_chat_format, op9_media, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_near_dup, op4_url_filter, op5_line_dedup, op6_toxicity, op7_chat_format, op8_html_text, op9_media, op10_bpe)}
