@@ -160,10 +160,13 @@ def _assembled(head, lines, digests: bool):
                         text = " ".join(map(str, listed))
                         out.append((len(listed), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(whole.decode(ids)).hexdigest()))
                     else:
-                        out.append((len(ids), ids.tolist(), whole.decode(ids)))
+                        out.append((len(ids), ids.astype(np.int32), whole.decode(ids)))
             n, a, c = zip(*out) if out else ((), (), ())
-            kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, kinds[0]), pa.array(c, kinds[1])], ["doc_id", "n_tokens", "a", "b"])
+            if digests:
+                lists = pa.array(a, pa.string())
+            else:
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(a) if a else np.zeros(0, np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), lists, pa.array(c, pa.string() if digests else pa.binary())], ["doc_id", "n_tokens", "a", "b"])
 
     return run
 
@@ -187,10 +190,10 @@ def _parts(docs: DataFrame, path: str, pattern: str, head_size: int):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, head_size: int = HEAD) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded (the bytes that the ids stand for) of each row."""
+    """doc_id, n_tokens, ids, decoded (the text that the ids stand for) of each row."""
     rows, head, lines, kind = _parts(docs, path, pattern, head_size)
     out = rows.mapInArrow(_assembled(head, lines, False), f"doc_id {kind}, n_tokens long, a array<int>, b binary")
-    return out.withColumnsRenamed({"a": "ids", "b": "decoded"})
+    return out.select("doc_id", "n_tokens", F.col("a").alias("ids"), F.decode("b", "utf-8").alias("decoded"))
 
 
 def digest(docs: DataFrame, path: str, pattern: str, head_size: int = HEAD) -> DataFrame:

@@ -214,6 +214,26 @@ def _indexes(items: DataFrame, window: int, k: int, most: int):
         yield Index(ids, texts, window, k)
 
 
+def _clean(index: "Index"):
+    def run(batches):
+        for b in batches:
+            texts = [t.as_py() for t in b.column(b.num_columns - 1)]
+            ok = np.ones(len(texts), bool)
+            for lo, hi in chunks(texts):
+                hit, pairs = index.hits(*words_of(texts[lo:hi]))
+                ok[lo + np.unique(pairs[:, 0])] = False
+            yield b.select(list(range(b.num_columns - 1))).filter(pa.array(ok))
+
+    return run
+
+
+def reject(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the rows that hold a window of any item; one pass for each block of items."""
+    for index in _indexes(items, window, k, block_words):
+        docs = docs.withColumn("__t", F.col("text").cast("binary")).mapInArrow(_clean(index), docs.schema)
+    return docs
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

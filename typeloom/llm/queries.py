@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import bpe, chat_format, decontaminate, html_text, line_dedup, media, near_dup, toxicity, url_filter
+from typeloom.llm import bpe, chat_format, decontaminate, html_text, line_dedup, lm_score, media, near_dup, toxicity, url_filter
 from typeloom.llm.common import table
 
 
@@ -14,6 +14,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.score(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.digest(near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4))
 
@@ -64,4 +71,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_near_dup, op4_url_filter, op5_line_dedup, op6_toxicity, op7_chat_format, op8_html_text, op9_media, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_near_dup, op4_url_filter, op5_line_dedup, op6_toxicity, op7_chat_format, op8_html_text, op9_media, op10_bpe)}
