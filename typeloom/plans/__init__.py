@@ -1 +1 @@
-"""plans."""
+"""The type graph: nodes, folding, simplification, and declarations."""
