@@ -1 +1 @@
-"""operators."""
+"""Distributed operators: inference, validation, and relational views of records."""

@@ -7,7 +7,11 @@ are admitted at that moment. admits() is the one rule for that.
 from __future__ import annotations
 
 from typeloom.functions.formats import common_format, is_path_key, utf16_length
-from typeloom.plans.nodes import MOST_LITERALS, NEVER, TAG_KEYS, Anything, Choice, Context, Listing, Mapping, Never, Node, Property, Scalar, Shape, TextFacts
+from typeloom.plans.nodes import MOST_LITERALS, NEVER, TAG_KEYS, Anything, Choice, Context, Listing, Mapping, Never, Node, Property, Scalar, Shape, TextFacts, structure
+
+
+#: An object without properties, in a structure.
+EMPTY_OBJECT = '["o", []]'
 
 
 class Missing:
@@ -33,8 +37,8 @@ def entries(obj: dict) -> list[tuple[str, object]]:
 
 
 class Folder:
-    def __init__(self, context: Context | None = None):
-        self.context = context or Context()
+    def __init__(self, context: Context | None = None, bounded: bool = True):
+        self.context, self.bounded = context or Context(), bounded
 
     # ------------------------------------------------------------ one record
 
@@ -113,11 +117,22 @@ class Folder:
             return out
         spot = next((i for i, o in enumerate(choice.options) if self.admits(o, extra)), None)
         if spot is None:
-            return Choice([*choice.options, extra])
+            return choice if self._twice(choice, extra) else Choice([*choice.options, extra])
         new = self.join(choice.options[spot], extra)
         options = [*choice.options[:spot], *(new.options if isinstance(new, Choice) else [new]), *choice.options[spot + 1 :]]
         return options[0] if len(options) == 1 else Choice(options)
 
+    def _twice(self, choice: Choice, extra: Node) -> bool:
+        """Whether options of extra's structure stand there twice: a third prints the same and takes no record.
+
+        Without this a null or a text beside objects would add an option with every record.
+        """
+        own = structure(extra) if self.bounded else EMPTY_OBJECT
+        if EMPTY_OBJECT in own:  # empty objects in choices are all declared
+            return False
+        alike = (o for o in choice.options if type(o) is type(extra) and structure(o) == own)
+        return next(alike, None) is not None and next(alike, None) is not None
+
     def absorb(self, mapping: Mapping, shape: Shape) -> Node:
         """A map takes an object whose keys all look like paths."""
         if not all(map(is_path_key, shape.properties)):

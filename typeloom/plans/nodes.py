@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from typeloom.functions.formats import FORMATS, Format
+from typeloom.functions.formats import BLOB_OVER, FORMATS, Format
 
 # Keys whose values tell kinds of objects apart, by priority.
 TAG_KEYS = ("type", "kind", "tag", "role", "$type", "$mid", "event", "op")
@@ -171,6 +171,27 @@ def encode(node: Node) -> str:
     return json.dumps(plain(node))
 
 
+def structure(node: Node) -> str:
+    """All that later folding and rendering depend on: a tree without its counts, and lengths as long or short."""
+
+    def plain(n: Node):
+        match n:
+            case Scalar():
+                t = n.text
+                return ["s", sorted(n.kinds), None if n.words is None else sorted(n.words), None if n.numbers is None else sorted(n.numbers), None if t is None else [t.fits, t.evidence, t.shortest > BLOB_OVER]]
+            case Listing():
+                return ["l", plain(n.item)]
+            case Shape():
+                return ["o", [[k, p.present == n.total, plain(p.node)] for k, p in n.properties.items()]]
+            case Mapping():
+                return ["m", n.key, plain(n.value)]
+            case Choice():
+                return ["c", [plain(o) for o in n.options]]
+        return [type(n).__name__]
+
+    return json.dumps(plain(node))
+
+
 def decode(text: str) -> Node:
     def node(x) -> Node:
         match x:
