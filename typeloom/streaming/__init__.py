@@ -1 +1 @@
-"""streaming."""
+"""Inference and patch replay over streams."""
