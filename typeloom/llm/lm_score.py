@@ -268,7 +268,7 @@ def _scored(lines, pattern: str, tables, head):
                 k = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 found = known[k] == h
                 doc = np.repeat(np.arange(hi - lo), np.diff(at))
-                part = np.bincount(doc[found], logs[k[found]], hi - lo)
+                part = np.bincount(doc[found], logs[k[found]], hi - lo).astype(float)
                 n_found = np.bincount(doc[found], minlength=hi - lo)
                 rare = np.flatnonzero(~found)
                 rare_at = np.searchsorted(rare, at)
