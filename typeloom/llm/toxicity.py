@@ -31,7 +31,7 @@ BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
 DIM = 8
 WINDOW = 6
-MOST_TOXIC, MOST_CLEAN = 3000, 6000
+MOST_TOXIC, MOST_CLEAN = 1200, 2400
 THRESHOLD = 0.7
 
 
@@ -158,7 +158,8 @@ def fit(texts: list, labels: np.ndarray, steps: int = 350, rate: float = 0.5, se
 def score_texts(texts: list, table: np.ndarray, bias: float) -> np.ndarray:
     bag = Bag(texts)
     z = bag.worst(bag.word_scores(table))[0] + bias
-    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-z))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
