@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +19,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one where none is set (tests on one machine)."""
+    sc = spark.sparkContext
+    where = sc._jsc.sc().getCheckpointDir()
+    if not where.isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        where = sc._jsc.sc().getCheckpointDir()
+    return where.get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage.
 
-    The folder is the cluster's spark.checkpoint.dir; where that is unset (tests on
-    one machine), a temporary folder is set.
+    The folder is the cluster's spark.checkpoint.dir. The shuffles behind df are given up at once,
+    so a job's disk holds the files of one step, not of all.
     """
     sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    shared_folder(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    del df  # or its plan would keep the shuffles
+    # Shuffle files go once the JVM has collected what refers to them; without this they stay until it happens to.
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
+
+
+def stash(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df written as a table (smaller than checkpoint's rows) to the shared folder, and what deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+    def drop() -> None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    return spark.read.parquet(path), drop
 
 
 def ascii_lower(col):

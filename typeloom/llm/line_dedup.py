@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import cut
+from typeloom.llm.common import cut, stash
 
 MIN_WORDS = 8
 
@@ -59,60 +59,77 @@ def within_one_word(a: Column, b: Column) -> Column:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """h, g, at, key and role ('r': a replacement's, 's': the line itself, 'd': with a word left out)."""
-    n = F.col("n")
-    left = lambda i: F.substring_index("line", " ", i)
-    place = F.explode(F.sequence(F.lit(0), n)).alias("i")
-    cell = lines.select("h", "g", "at", "line", "n", place)
+    """h, g, at, key and role ('r': a replacement's, 's': the line itself, 'd': with a word left out).
+
+    A word is left out only where the line's neighbours can differ: behind the first half
+    if only that is shared, before the last one if only that is.
+    """
+    half = F.floor((F.col("n") - 1) / 2).cast("int")
+    low = F.when(F.col("last"), F.lit(1)).otherwise(half + 1)
+    high = F.when(F.col("first"), F.col("n")).otherwise(F.col("n") - half)
+    cell = lines.select("h", "g", "at", "line", "n", F.explode(F.concat(F.array(F.lit(0)), F.sequence(low, high))).alias("i"))
     rest = F.expr("concat_ws(' ', if(i > 1, substring_index(line, ' ', i - 1), null), if(i < n, substring_index(line, ' ', i - n), null))")
     cell = cell.select("h", "g", "at", "i", "n", F.when(F.col("i") == 0, F.col("line")).otherwise(rest).alias("v"))
-    kinds = F.when(F.col("i") == 0, F.array(F.struct(F.lit("s").alias("role"), _hash(F.col("v"), "i").alias("key")))).otherwise(
-        F.array(
-            F.struct(F.lit("d").alias("role"), _hash(F.col("v"), "i").alias("key")),
-            F.struct(F.lit("r").alias("role"), F.xxhash64(F.lit("r"), "v", "i", n).alias("key")),
-        )
-    )
+    own = F.struct(F.lit("s").alias("role"), _hash(F.col("v"), "i").alias("key"))
+    less = F.struct(F.lit("d").alias("role"), _hash(F.col("v"), "i").alias("key"))
+    swap = F.struct(F.lit("r").alias("role"), F.xxhash64(F.lit("r"), "v", "i", "n").alias("key"))
+    kinds = F.when(F.col("i") == 0, F.array(own)).otherwise(F.array(less, swap))
     return cell.select("h", "g", "at", F.explode(kinds).alias("k")).select("h", "g", "at", "k.role", "k.key")
 
 
-def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th, pos of each line occurrence that goes, and whether its earlier twin is exact."""
-    lines = lines_of(docs)
-    halves = [(F.floor((F.col("n") - o) / 2).cast("int"), o) for o in (0, 1)]
-    wide = lines.select("h", "g", "at", n_words(F.col("line")).alias("n"), "line")
+def _halves(lines: DataFrame, min_words: int) -> DataFrame:
+    """h, g, first, half: the first and last halves of the words of each line that may have a neighbour."""
+    rows = lines.select("h", "g", n_words(F.col("line")).cast("int").alias("n"), "line").where(F.col("n") >= min_words - 1)
     keys = []
-    for m, o in halves:
-        for end, sign in (("first", 1), ("last", -1)):
+    for o in (0, 1):
+        m = F.expr(f"int(floor((n - {o}) / 2))")
+        for first, sign in ((True, 1), (False, -1)):
             part = F.expr(f"substring_index(line, ' ', {sign} * int(floor((n - {o}) / 2)))")
-            keys.append(F.xxhash64(F.lit(end), m, part))
-    short = wide.select("h", "g", "at", "n", F.when(F.col("n") >= min_words - 1, F.array_distinct(F.array(*keys))).alias("halves"))
-    distinct = cut(short.groupBy("h", "g").agg(F.min("at").alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("halves").alias("halves")))
-    # Lines that share a half with another line.
-    half = distinct.where(F.col("halves").isNotNull()).select("h", "g", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    near = half.join(shared, "half").select("h", "g").distinct()
-    first = distinct.join(near, ["h", "g"]).select("h", "g", "at", "n")
-    place = first.select("h", "g", "n", F.col("at").alias("_at"))
-    # Their texts, from the earliest occurrence of each.
-    texts = lines.join(place, ["h", "g"]).where(F.col("at") == F.col("_at")).select("h", "g", "at", "n", "line")
-    texts = cut(texts.dropDuplicates(["h", "g"]))
+            keys.append(F.struct(F.lit(first).alias("first"), F.xxhash64(F.lit(first), m, part).alias("half")))
+    return rows.select("h", "g", F.explode(F.array_distinct(F.array(*keys))).alias("x")).select("h", "g", "x.first", "x.half")
+
+
+def _near(lines: DataFrame, min_words: int) -> DataFrame:
+    """h, g of the lines that share a half with another line, and which half."""
+    half = _halves(lines, min_words)
+    shared = half.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("half")
+    return half.join(shared, "half").groupBy("h", "g").agg(F.max("first").alias("first"), F.max(~F.col("first")).alias("last"))
+
+
+def _twins(texts: DataFrame, min_words: int) -> DataFrame:
+    """h, g of each line that an earlier one is within a word of."""
     found = variants(texts)
-    best = found.groupBy("key").agg(
-        F.min(F.when(F.col("role") == "r", F.struct("at", "h", "g"))).alias("r"), F.min(F.when(F.col("role") == "s", F.struct("at", "h", "g"))).alias("s"),
-        F.min(F.when(F.col("role") == "d", F.struct("at", "h", "g"))).alias("d"), F.count("*").alias("c"),
-    ).where("c > 1")
-    twin = F.when(F.col("role") == "r", F.col("r")).when(F.col("role") == "s", F.col("d")).otherwise(F.col("s"))
-    pairs = found.join(best, "key").withColumn("e", twin).where((F.col("e.at") < F.col("at")))
-    pairs = pairs.groupBy("h", "g").agg(F.min("e").alias("e"))
+    crowded = found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    found = cut(found.join(crowded, "key"))
+    who = F.struct("at", "h", "g")
+    best = found.groupBy("key").agg(*(F.min(F.when(F.col("role") == r, who)).alias(f"_{r}") for r in "rsd"))
+    twin = F.when(F.col("role") == "r", F.col("_r")).when(F.col("role") == "s", F.col("_d")).otherwise(F.col("_s"))
+    pairs = found.join(best, "key").withColumn("e", twin).where(F.col("e.at") < F.col("at")).groupBy("h", "g").agg(F.min("e").alias("e"))
     # Verify on the words.
     words = texts.select("h", "g", F.split("line", " ").alias("w"), "n")
     known = pairs.select("h", "g", F.col("e.h").alias("h2"), F.col("e.g").alias("g2")).join(words, ["h", "g"])
     other = words.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("w").alias("w2"), F.col("n").alias("n2"))
     close = known.join(other, ["h2", "g2"]).where(within_one_word(F.col("w"), F.col("w2")) & (F.greatest("n", "n2") >= min_words))
-    fuzzy = close.select("h", "g", F.lit(True).alias("fuzzy"))
+    return close.select("h", "g", F.lit(True).alias("fuzzy"))
+
+
+def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, th, pos of each line occurrence that goes, and whether its earlier twin is exact."""
+    lines = lines_of(docs)
+    n = n_words(F.col("line")).cast("int").alias("n")
+    short = lines.select("h", "g", "at", n)
+    distinct, forget = stash(short.groupBy("h", "g").agg(F.min("at").alias("at"), F.count("*").alias("times"), F.min("n").alias("n")))
+    near = cut(_near(lines, min_words))
+    place = distinct.join(near, ["h", "g"]).select("h", "g", "n", "first", "last", F.col("at").alias("_at"))
+    found = lines.select("h", "g", "at", "line").join(place, ["h", "g"]).where(F.col("at") == F.col("_at"))
+    texts = cut(found.select("h", "g", "at", "n", "first", "last", "line").dropDuplicates(["h", "g"]))
+    fuzzy = cut(_twins(texts, min_words))
     marks = distinct.join(fuzzy, ["h", "g"], "left").where((F.col("times") > 1) | F.col("fuzzy")).select("h", "g", F.col("at").alias("_at"), "fuzzy")
     spots = lines.select("doc_id", "th", "pos", "at", "h", "g").join(marks, ["h", "g"])
-    return spots.where((F.col("at") > F.col("_at")) | F.col("fuzzy")).select("doc_id", "th", "pos", (F.col("at") > F.col("_at")).alias("exact"))
+    later = F.col("at") > F.col("_at")
+    out = cut(spots.where(later | F.col("fuzzy")).select("doc_id", "th", "pos", later.alias("exact")))
+    forget()
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -131,3 +148,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.coalesce("_near", F.lit(0)).alias("n_near"),
     )
     return out
+
+
+def thin(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with their kept lines as text (n_chars follows, if there is one), without the documents of which no text is left."""
+    out = dedup_lines(docs, min_words).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
