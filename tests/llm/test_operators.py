@@ -153,11 +153,17 @@ def test_near_dup(spark, awkward, nothing):
     assert sorted(x.doc_id for x in kept if x.doc_id is not None) == [1, 2, 3, 4, 6, 7] and len(kept) == 7
 
 
-def test_cells_make_each_pair_once(spark):
-    rows = [("k", bytes([i]), bytes([i % 3]), 70, [1, 2]) for i in range(70)]
-    rest = spark.createDataFrame(rows, "key string, c binary, comp binary, m long, bands array<long>").withColumn("key", F.lit(1).cast("long"))
-    pairs = {(x.a, x.b) for x in near_dup._cells(rest).collect()}
-    assert pairs == {(bytes([i]), bytes([j])) for i in range(70) for j in range(i + 1, 70) if i % 3 != j % 3}
+def test_cells_find_all_links(spark, monkeypatch):
+    """Members of one bucket in several cells: all links between different components, and no others."""
+    monkeypatch.setattr(near_dup, "CELL", 8)
+    texts = [" ".join(f"w{(i // 3) * 50 + j}" for j in range(40)) + f" x{i}" for i in range(30)]
+    sets, starts = near_dup.shingle_sets([t.encode() for t in texts], 4)
+    s = (near_dup.mix64(near_dup.sketches(sets, starts)) & np.uint64(255)).astype(np.uint8)
+    ids = [bytes([i]) for i in range(30)]
+    known = spark.createDataFrame([(ids[i], texts[i].encode(), s[i].tobytes(), [i + 100, 1]) for i in range(30)], "c binary, text binary, sketch binary, bands array<long>")
+    rest = spark.createDataFrame([(1, ids[i], ids[i - i % 3] if i % 3 < 2 else ids[i], 30) for i in range(30)], "key long, c binary, comp binary, m long")
+    pairs = {frozenset((x.a, x.b)) for x in near_dup._cells(rest, known, 4, 80).collect()}
+    assert pairs == {frozenset((ids[i], ids[j])) for i in range(30) for j in range(i) if i // 3 == j // 3 and i % 3 == 2}
 
 
 def test_sketches_fill_and_agree():

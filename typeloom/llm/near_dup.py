@@ -11,10 +11,11 @@ sequence if that is shorter; nothing without words). Documents are linked if
    so every coordinate is filled, and two coordinates agree with the sets' similarity.
 3. BANDS bands of ROWS coordinates are bucket keys. A pair at the threshold misses all
    buckets with probability 3e-6.
-4. In each bucket of several classes all members are compared with one pivot, those that
-   are in one component already are not compared again, and the next pivot follows. After
-   ROUNDS pivots the pairs that are left (of different components only) are made in cells
-   of bounded size. No link is lost, and no bucket is expanded into all its pairs.
+4. In each bucket of several classes all members are compared with one pivot, which makes
+   one component of most copies. Buckets that still hold several components are dealt out
+   to cells of at most about CELL x CELL members; a cell compares members of different
+   components and emits links only. No link is lost, and no pair is written before it is
+   known to be one.
 5. Candidates whose sketches agree in less than LEAST coordinates (over six standard
    deviations below the threshold) go; the rest are confirmed on the full sets.
 6. Components by alternating star contraction, each step cut by a checkpoint.
@@ -37,8 +38,7 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
 LEAST = 95
-ROUNDS = 4
-CELL = 32
+CELL = 512
 
 
 def shingle_sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,29 +150,29 @@ def _confirm(k: int, percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node that it reaches) of all nodes of edges (a, b)."""
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    mark = None
+    """node, comp (the smallest node that it reaches) of all nodes of edges (a, b) but the smallest ones.
+
+    Each step hangs larger neighbours, then a node and its smaller neighbours, on the smallest
+    one near; it ends when all edges are stars.
+    """
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        now = cut(small)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == mark:
-            break
-        mark = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        pairs = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+        now = cut(small.select(pairs.alias("e")).select("e.a", "e.b").where("a != b").distinct())
+        ends = now.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
 def _pairs_verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links."""
     side = lambda name: reps.select(F.col("c").alias(name), F.col("sketch").alias("s" + name))
     drawn = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(_agree, "a binary, b binary")
-    full = cut(drawn).join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
+    full = drawn.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
     return full.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), "a binary, b binary")
 
 
@@ -188,49 +188,91 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
     members = cut(spots.join(crowded, "key"))
     needed = members.select("c").distinct().join(reps.select("c", "r"), "c").select("c", F.col("r.doc_id").alias("i"), F.col("r.th").alias("t"))
     texts = cut(rows.join(needed, rows.doc_id.eqNullSafe(F.col("i")) & (rows.th == F.col("t"))).select("c", "text").dropDuplicates(["c"]))
-    labels = None
-    links = None
-    last = members.select("key").distinct().withColumn("last", F.lit(None).cast("binary"))
-    for turn in range(ROUNDS + 1):
-        here = members if labels is None else members.join(labels, members.c == labels.node, "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
-        if labels is None:
-            here = here.withColumn("comp", F.col("c"))
-        rest = here.join(last, "key").where(F.col("last").isNull() | (F.col("c") > F.col("last"))).select("key", "c", "comp")
-        state = rest.groupBy("key").agg(F.min(F.struct("c", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi")
-        state = cut(state)
-        if state.isEmpty():
-            break
-        rest = rest.join(state, "key")
-        if turn < ROUNDS:
-            pairs = rest.where((F.col("c") > F.col("p.c")) & (F.col("comp") != F.col("p.comp"))).select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
-            last = state.select("key", F.col("p.c").alias("last"))
-        else:
-            pairs = _cells(rest)
-        new = _pairs_verified(pairs, reps, texts, k, percent)
-        if labels is not None:
-            new = new.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        labels = components(new)
+    # The first pivot of each bucket is its smallest class.
+    pivot = members.groupBy("key").agg(F.min("c").alias("p"))
+    pairs = members.join(pivot, "key").where("c > p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
+    labels = components(_pairs_verified(pairs, reps, texts, k, percent))
+    # What isn't decided: buckets that hold several components.
+    here = members.join(labels, members.c == labels.node, "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
+    parts = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = cut(parts.groupBy("key").agg(F.sum("n").alias("m"), F.count("*").alias("comps")).where("comps > 1").select("key", "m"))
+    new = _cells(here.join(mixed, "key"), texts.join(reps.select("c", "sketch", "bands"), "c"), k, percent)
+    labels = components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
     out = reps.select("c", F.col("r.doc_id").alias("class_id"))
-    if labels is not None:
-        joined = out.join(labels, out.c == labels.node, "left").select("c", "class_id", F.coalesce("comp", "c").alias("comp"))
-        low = joined.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-        out = joined.join(low, "comp").select("c", "class_id", "component_id")
-    else:
-        out = out.withColumn("component_id", F.col("class_id"))
+    joined = out.join(labels, out.c == labels.node, "left").select("c", "class_id", F.coalesce("comp", "c").alias("comp"))
+    low = joined.groupBy("comp").agg(F.min("class_id").alias("component_id"))
+    out = joined.join(low, "comp").select("c", "class_id", "component_id")
     told = told.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).alias("c"))
     known = told.where("c IS NOT NULL").join(out, "c", "left").select("doc_id", "th", "n_shingles", "class_id", "component_id")
     bare = told.where("c IS NULL").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return known.unionByName(bare)
 
 
-def _cells(rest: DataFrame) -> DataFrame:
-    """All pairs of different components that are left in a bucket, made in cells of about CELL x CELL members."""
+def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component: the one with the smallest doc_id."""
+    kept = classes(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__i"), F.col("th").alias("__h"), F.col("n_shingles").alias("__n"))
+    rows = docs.withColumn("__t", F.xxhash64("text"))
+    both = rows.join(kept.distinct(), rows.doc_id.eqNullSafe(F.col("__i")) & (rows["__t"] == F.col("__h")))
+    # Rows of an empty set are linked with nothing, not even with their copies.
+    empty, others = both.where("__n = 0"), both.where("__n > 0").dropDuplicates(["__i", "__t"])
+    return others.unionByName(empty).select(*docs.columns)
+
+
+def _compared(k: int, percent: int):
+    """Links (a, b) between members of different components in cells: by sketch first, then on the full sets, each pair once."""
+
+    def links(cell):
+        left = [m for m in cell["members"] if m["own"] == cell["x"]]
+        right = left if cell["x"] == cell["y"] else [m for m in cell["members"] if m["own"] == cell["y"]]
+        if not left or not right:
+            return
+        table = lambda ms: np.frombuffer(b"".join(m["sketch"] for m in ms), np.uint8).reshape(-1, SIZE)
+        of = {}
+        names = lambda ms: np.array([of.setdefault(m["comp"], len(of)) for m in ms])
+        l_sketch, r_sketch, l_comp, r_comp = table(left), table(right), names(left), names(right)
+        bands = lambda ms: np.array([m["bands"] for m in ms], np.int64)
+        l_bands, r_bands = bands(left), bands(right)
+        own = int(np.flatnonzero(l_bands[0] == cell["key"])[0])
+        sets: dict[bytes, np.ndarray] = {}
+
+        def full(m):
+            if m["c"] not in sets:
+                sets[m["c"]] = shingle_sets([m["text"]], k)[0]
+            return sets[m["c"]]
+
+        for lo in range(0, len(left), 32):
+            close = (l_sketch[lo : lo + 32, None] == r_sketch[None]).sum(2) >= LEAST
+            close &= l_comp[lo : lo + 32, None] != r_comp[None]
+            # A pair that shares an earlier band is compared there.
+            for band in range(own):
+                close &= l_bands[lo : lo + 32, None, band] != r_bands[None, :, band]
+            for i, j in zip(*np.nonzero(close)):
+                p, q = left[lo + i], right[j]
+                if right is not left or lo + i < j:
+                    x, y = full(p), full(q)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both and 100 * both >= percent * (len(x) + len(y) - both):
+                        yield p["c"], q["c"]
+
+    def run(batches):
+        for b in batches:
+            for cell in b.to_pylist():
+                found = list(links(cell))
+                yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.binary()) for n in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _cells(rest: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between the components that a bucket holds. Its members are dealt out to cells of about CELL x CELL.
+
+    rest: key, c, comp, m (the bucket's members). known: c, text, sketch, bands.
+    """
     groups = F.greatest(F.lit(1), F.ceil(F.col("m") / CELL)).cast("int")
     mine = rest.select("key", "c", "comp", groups.alias("g")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("g")).cast("int"))
-    cell = mine.withColumn("o", F.explode(F.expr("sequence(0, g - 1)"))).select("key", "c", "comp", "own", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"))
-    left = cell.where("own = x").select("key", "x", "y", F.col("c").alias("a"), F.col("comp").alias("ca"))
-    right = cell.where("own = y").select("key", "x", "y", F.col("c").alias("b"), F.col("comp").alias("cb"))
-    return left.join(right, ["key", "x", "y"]).where("a != b AND ca != cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    spread = mine.withColumn("o", F.explode(F.expr("sequence(0, g - 1)"))).select("key", "c", "comp", "own", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"))
+    cells = spread.join(known, "c").groupBy("key", "x", "y").agg(F.collect_list(F.struct("own", "c", "comp", "sketch", "bands", "text")).alias("members"))
+    return cells.mapInArrow(_compared(k, percent), "a binary, b binary").distinct()
 
 
 def digest(found: DataFrame) -> DataFrame:
