@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.llm import pretokens
-from typeloom.llm.common import CHUNK_BYTES, chunks, cut, ranges, span_hashes
+from typeloom.llm.common import CHUNK_BYTES, chunks, ranges, span_hashes, stash
 
 #: Pre-tokens whose ids are sent to all executors.
 HEAD = 1 << 19
@@ -86,7 +86,7 @@ def _encoded(lines, pattern: str):
 def vocabulary(texts: DataFrame, lines, pattern: str) -> DataFrame:
     """h, n, ids of each distinct pre-token of all texts."""
     counts = texts.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.mapInArrow(_encoded(lines, pattern), "h long, n long, ids binary").groupBy("h").agg(F.sum("n").alias("n"), F.first("ids").alias("ids"))
+    return counts.mapInArrow(_encoded(lines, pattern), "h long, n long, ids binary")
 
 
 def _rare(head):
@@ -175,18 +175,19 @@ def _parts(docs: DataFrame, path: str, pattern: str, head_size: int):
     sc = docs.sparkSession.sparkContext
     lines = sc.broadcast(read_ranks(path))
     key = F.xxhash64("doc_id", "text").alias("key")
-    words = cut(vocabulary(docs.select(F.col("text").cast("binary").alias("t")), lines, pattern))
+    # These tables stay in the shared folder: the result, which isn't computed yet, reads them.
+    words, _ = stash(vocabulary(docs.select(F.col("text").cast("binary").alias("t")), lines, pattern))
     top = words.orderBy(F.desc("n"), "h").limit(head_size).toArrow()
     h = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     ids = top.column("ids").take(pa.array(order)).to_pylist()
     offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int64)
     head = sc.broadcast((h[order], offsets, np.frombuffer(b"".join(ids), np.uint32)))
-    rare = docs.select(key, F.col("text").cast("binary").alias("t")).mapInArrow(_rare(head), "key long, h long").distinct()
-    found = rare.join(words.select("h", "ids"), "h").groupBy("key").agg(F.collect_list(F.struct("h", "ids")).alias("rare"))
+    rare = docs.select(key, F.col("text").cast("binary").alias("t")).mapInArrow(_rare(head), "key long, h long")
+    found, _ = stash(rare.join(words.select("h", "ids"), "h").groupBy("key").agg(F.collect_list(F.struct("h", "ids")).alias("rare")))
     kind = dict(docs.dtypes)["doc_id"]
     packed = docs.select("doc_id", key, F.col("text").cast("binary").alias("t")).mapInArrow(_packed, f"doc_id {kind}, key long, z binary")
-    return packed.join(cut(found), "key", "left").select("doc_id", "z", "rare"), head, lines, kind
+    return packed.join(found, "key", "left").select("doc_id", "z", "rare"), head, lines, kind
 
 
 def encode(docs: DataFrame, path: str, pattern: str, head_size: int = HEAD) -> DataFrame:
