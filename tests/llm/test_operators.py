@@ -114,6 +114,25 @@ def test_model_is_a_distribution():
     assert inner == pytest.approx(len(used), rel=1e-6)
 
 
+def test_ids_of_one_class_differ_in_context():
+    """Which of two ids of a class follows depends on which of two ids of that class is before; all ids' probabilities add up to one."""
+    n, r = 600, np.random.default_rng(1)
+    pairs = [(500, 510), (501, 511)]
+    ids = np.concatenate([np.append(r.integers(0, 20, 2), pairs[r.integers(2)]) for i in range(6000)])
+    by = np.bincount(ids, minlength=n).astype(float)
+    cls = lm_score.classes_of(np.where(np.arange(n) < 490, 1e6, 1.0))
+    assert len({cls[k] for k in (500, 501, 510, 511)}) == 1
+    model = lm_score.Attention(n, cls, by)
+    model.train(ids, np.arange(0, len(ids) + 1, 60), steps=300)
+    t, head = model.tables(), ids[:6]
+    p = {(a, b): lm_score.score_ids(t, np.append(head, [a, b, 7]), np.array([0, 9]))[0] for a in (500, 501) for b in (510, 511)}
+    assert p[500, 510] + p[501, 511] > p[500, 511] + p[501, 510] + 1
+    hidden = np.append(np.random.default_rng(2).normal(size=lm_score.DIM), 1)
+    nodes, sides, m, begin = model.tree.paths(np.arange(n))
+    z = sides * (t["node"][nodes] @ hidden)
+    assert np.exp(np.add.reduceat(-np.logaddexp(0, -z), begin)).sum() == pytest.approx(1)
+
+
 # ---------------------------------------------------------------- 3
 
 

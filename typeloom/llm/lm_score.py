@@ -7,11 +7,12 @@ other token of a document is a row that is joined with its count, and none of th
 frequent enough to make a hot key.
 
 Model score. A text's subword ids (byte-level BPE) and an end are predicted one after the
-other. One causal self-attention layer reads the ids before; its output goes through a
-softmax over CLASSES classes of ids, and an id's share of its class is its share of the
-training corpus's counts, over all its rows. Windows of SPAN ids overlap: each scores its
-last STRIDE ids with at least SPAN - STRIDE ids of context before the first (as far as the
-text has them), so each id is scored once. Windows of many texts are one masked batch.
+other. One causal self-attention layer reads the ids before, each by an embedding of its
+own; its output goes down a Huffman tree of all ids, each inner node of which has a vector
+and a bias, so each id's probability follows the context. The tree's shape and its first
+biases are the training corpus's counts, over all its rows. Windows of SPAN ids overlap:
+each scores its last STRIDE ids with at least SPAN - STRIDE ids of context before the first
+(as far as the text has them), so each id is scored once. Windows of many texts are one masked batch.
 
 Learning takes the rows of which crc32(doc_id as text) mod 5 isn't 1 (null ids too). The
 counts cover all of them; the attention layer's weights are fitted in numpy on the whole
@@ -105,71 +106,145 @@ def _mask(span: int, stride: int) -> np.ndarray:
     return np.where(gap >= 0, 0, -np.inf).astype(np.float32), np.clip(gap, 0, span - 1)
 
 
+class Tree:
+    """A Huffman tree of the ids: each id's inner nodes from its leaf upwards, and on which side of them it is (1 or -1)."""
+
+    def __init__(self, mass: np.ndarray):
+        n = len(mass)
+        order = np.argsort(mass, kind="stable")
+        weight = np.concatenate((mass[order], np.zeros(n - 1))).tolist()
+        up, side = np.zeros(2 * n - 1, np.int64), np.ones(2 * n - 1, np.int8)
+        self.bias = np.zeros(n - 1, np.float32)
+        leaf, inner = 0, n
+        for new in range(n, 2 * n - 1):
+            pair = []
+            for _ in range(2):
+                if leaf < n and (inner == new or weight[leaf] <= weight[inner]):
+                    pair.append(leaf)
+                    leaf += 1
+                else:
+                    pair.append(inner)
+                    inner += 1
+            x, y = pair
+            up[x] = up[y] = new
+            side[y] = -1
+            weight[new] = weight[x] + weight[y]
+            self.bias[new - n] = np.log(weight[x] / weight[y])
+        who, here, parts = np.arange(n), np.arange(n), []
+        while n > 1 and len(who):
+            parts.append((order[who], up[here] - n, side[here]))
+            here = up[here]
+            live = here < 2 * n - 2
+            who, here = who[live], here[live]
+        ids, nodes, sides = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+        by = np.argsort(ids, kind="stable")
+        self.nodes, self.sides = nodes[by].astype(np.int32), sides[by].astype(np.float32)
+        self.depth = np.bincount(ids, minlength=n)
+        self.at = np.cumsum(self.depth) - self.depth
+
+    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and sides of all ids one after the other, how many each id has, and where each id's start."""
+        m = self.depth[ids]
+        ends = np.cumsum(m)
+        spots = np.repeat(self.at[ids] - (ends - m), m)
+        spots += np.arange(len(spots))
+        return self.nodes.take(spots), self.sides.take(spots), m, ends - m
+
+
+def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sum of each one's rows, how many there were."""
+    order = np.argsort(keys.astype(np.uint16) if len(keys) and keys.max() < 1 << 16 else keys, kind="stable")
+    sorted_keys = keys.take(order)
+    first = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
+    return sorted_keys[first], np.add.reduceat(rows.take(order, 0), first, axis=0), np.diff(np.append(first, len(keys)))
+
+
 class Attention:
-    """Embedding E, queries, keys, values, a bias by distance, and the softmax over classes."""
+    """An embedding of each id, queries, keys, values, a bias by distance, and a vector and bias of each node of the ids' tree.
 
-    def __init__(self, n_ids: int, cls: np.ndarray, seed: int = 3):
+    Before any learning the tree's biases give each id its share of counts.
+    """
+
+    def __init__(self, n_ids: int, cls: np.ndarray, counts: np.ndarray | None = None, seed: int = 3):
         r = np.random.default_rng(seed)
         f = lambda *s, a=0.3: r.normal(0, a, s).astype(np.float32)
-        self.cls = cls
-        self.w = {"by_class": f(CLASSES + 1, DIM, a=0.5), "q": f(DIM, DIM), "k": f(DIM, DIM), "v": f(DIM, DIM), "far": np.zeros(SPAN, np.float32), "own": np.eye(DIM, dtype=np.float32), "out": f(DIM, CLASSES), "bias": np.zeros(CLASSES, np.float32)}
-
-    def train(self, ids: np.ndarray, starts: np.ndarray, steps: int = 700, batch: int = 64, rate: float = 0.01, seed: int = 5) -> None:
-        """Adam on random windows; every place of a window is a target."""
-        inputs, targets, at = places(ids, starts, len(self.cls))
-        c_in = np.append(self.cls, CLASSES)[inputs]
-        c_out = np.append(self.cls, self.cls[-1])[np.minimum(targets, len(self.cls) - 1)]
-        r = np.random.default_rng(seed)
-        gap = np.arange(SPAN)[:, None] - np.arange(SPAN)[None]
-        hide, gap = np.where(gap >= 0, 0, -1e9).astype(np.float32), np.clip(gap, 0, SPAN - 1)
-        good = ranges(at[:-1], np.maximum(np.diff(at) - SPAN + 1, 0))
-        if not len(good):
+        self.n_ids = n_ids
+        self.tree = Tree(1.0 / np.bincount(cls)[cls] if counts is None else counts + 0.5)
+        self.w = {"emb": f(n_ids + 1, DIM, a=0.5), "q": f(DIM, DIM), "k": f(DIM, DIM), "v": f(DIM, DIM), "far": np.zeros((SPAN, 1), np.float32), "own": np.eye(DIM, dtype=np.float32), "node": np.zeros((n_ids - 1, DIM + 1), np.float32)}
+        self.w["node"][:, DIM] = self.tree.bias
+        self.s = {k: np.ones_like(v) for k, v in self.w.items()}
+        self.met = {k: np.zeros(len(v)) for k, v in self.w.items()}
+
+    def train(self, ids: np.ndarray, starts: np.ndarray, steps: int | None = 700, batch: int = 64, rate: float = 0.1, seed: int = 5) -> None:
+        """Adagrad on windows as scoring has them, of texts that fill one: steps random batches, or all windows once."""
+        inputs, targets, at = places(ids, starts, self.n_ids)
+        first, low, high = windows(at, SPAN, STRIDE)
+        full = np.repeat(np.diff(at) >= SPAN, -(-np.diff(at) // STRIDE))
+        first, low, high = first[full], low[full], high[full]
+        if not len(first):
             return
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        scale = np.float32(DIM**-0.5)
-        for step in range(1, steps + 1):
-            w = self.w
-            spot = r.choice(good, batch)[:, None] + np.arange(SPAN)
-            x, y = c_in[spot], c_out[spot]
-            e = w["by_class"][x]
-            q, k, v = e @ w["q"], e @ w["k"], e @ w["v"]
-            z = q @ k.transpose(0, 2, 1) * scale + (w["far"][gap] + hide)
-            z -= z.max(-1, keepdims=True)
-            a = np.exp(z)
-            a /= a.sum(-1, keepdims=True)
-            h = np.tanh(a @ v + e @ w["own"])
-            o = h @ w["out"] + w["bias"]
-            o -= o.max(-1, keepdims=True)
-            p = np.exp(o)
-            p /= p.sum(-1, keepdims=True)
-            d = p
-            d[np.arange(batch)[:, None], np.arange(SPAN), y] -= 1
-            d /= batch * SPAN
-            g = {"out": h.reshape(-1, DIM).T @ d.reshape(-1, CLASSES), "bias": d.sum((0, 1))}
-            dh = (d @ w["out"].T) * (1 - h * h)
-            flat = lambda t: t.reshape(-1, DIM)
-            g["own"] = flat(e).T @ flat(dh)
-            da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-            dz = a * (da - (da * a).sum(-1, keepdims=True))
-            g["far"] = np.bincount(gap.reshape(-1), (dz.sum(0) * (hide == 0)).reshape(-1), SPAN).astype(np.float32)
-            dq, dk = dz @ k * scale, dz.transpose(0, 2, 1) @ q * scale
-            g["q"], g["k"], g["v"] = flat(e).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-            de = dh @ w["own"].T + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-            g["by_class"] = np.zeros_like(w["by_class"])
-            np.add.at(g["by_class"], x.reshape(-1), flat(de))
-            now = rate * min(1.0, 3 * (1 - step / (steps + 1)))
-            for name, grad in g.items():
-                m[name] += 0.1 * (grad - m[name])
-                s[name] += 0.01 * (grad * grad - s[name])
-                w[name] = (w[name] - now * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-
-    def tables(self, share: np.ndarray) -> dict:
-        """What scoring needs: queries, keys, values of each class, and each id's class and share of it (log)."""
+        r = np.random.default_rng(seed)
+        if steps is None:
+            turns = np.array_split(r.permutation(len(first)), -(-len(first) // batch))
+        else:
+            turns = (r.choice(len(first), batch) for _ in range(steps))
+        for i in turns:
+            self._step(inputs, targets, first[i], low[i], high[i], np.float32(rate))
+
+    def _step(self, inputs, targets, first, low, high, rate) -> None:
+        w, scale = self.w, np.float32(DIM**-0.5)
+        hide, gap = _mask(SPAN, STRIDE)
+        keys = first[:, None] + np.arange(STRIDE - SPAN, STRIDE)
+        x = inputs[np.clip(keys, 0, len(inputs) - 1)]
+        e = w["emb"].take(x, 0)
+        eq = np.ascontiguousarray(e[:, SPAN - STRIDE :])
+        q, k, v = eq @ (w["q"] * scale), e @ w["k"], e @ w["v"]
+        a = q @ k.transpose(0, 2, 1)
+        a += w["far"][gap, 0] + hide
+        a += np.where(keys >= low[:, None], np.float32(0), np.float32(-np.inf))[:, None, :]
+        a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
+        a /= a.sum(-1, keepdims=True)
+        h = np.tanh(a @ v + eq @ w["own"])
+        flat = lambda t: t.reshape(-1, t.shape[-1])
+        spots = first[:, None] + np.arange(STRIDE)
+        live = np.flatnonzero(spots < high[:, None])
+        y = targets[spots.reshape(-1)[live]]
+        hr = np.ones((len(live), DIM + 1), np.float32)
+        hr[:, :DIM] = flat(h)[live]
+        nodes, sides, m, begin = self.tree.paths(y)
+        u, hw = w["node"].take(nodes, 0), np.repeat(hr, m, 0)
+        d = -sides / (1 + np.exp(np.clip(sides * np.einsum("ij,ij->i", u, hw), -30, 30)))
+        hw *= d[:, None]
+        u *= d[:, None]
+        dh = np.zeros_like(h)
+        flat(dh)[live] = np.add.reduceat(u, begin, axis=0)[:, :DIM]
+        dh *= 1 - h * h
+        da = dh @ v.transpose(0, 2, 1)
+        dz = a * (da - np.einsum("bij,bij->bi", da, a)[:, :, None])
+        dk, dv, dq = dz.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh, (dz @ k) * scale
+        de = dk @ w["k"].T + dv @ w["v"].T
+        de[:, SPAN - STRIDE :] += dq @ w["q"].T + dh @ w["own"].T
+        g = {"q": flat(eq).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "own": flat(eq).T @ flat(dh)}
+        g["far"] = np.bincount(gap.reshape(-1), (dz.sum(0) * (hide == 0)).reshape(-1), SPAN).astype(np.float32)[:, None]
+        for name, grad in g.items():
+            self._move(name, slice(None), grad, len(live), rate)
+        self._move("node", *_summed(nodes, hw), rate)
+        seen = np.flatnonzero((keys >= low[:, None]) & (keys < high[:, None]))
+        self._move("emb", *_summed(x.reshape(-1)[seen], flat(de)[seen]), rate)
+
+    def _move(self, name, rows, grad, times, rate) -> None:
+        total = self.s[name][rows] + grad * grad
+        self.s[name][rows] = total
+        self.w[name][rows] -= rate * grad / np.sqrt(total)
+        self.met[name][rows] += times
+
+    def tables(self, share: np.ndarray | None = None) -> dict:
+        """What scoring needs: queries, keys, values of each id and the start, and the tree. The tree's biases hold the share."""
         w = self.w
-        e = w["by_class"]
+        e = w["emb"]
         q = e @ w["q"] * np.float32(DIM**-0.5)
-        return {"q": q, "k": e @ w["k"], "v": e @ w["v"], "own": e @ w["own"], "far": w["far"], "out": w["out"], "bias": w["bias"], "cls": self.cls, "share": share}
+        return {"q": q, "k": e @ w["k"], "v": e @ w["v"], "own": e @ w["own"], "far": w["far"][:, 0], "node": w["node"], "tree": self.tree}
 
 
 def places(ids: np.ndarray, starts: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,11 +263,9 @@ def places(ids: np.ndarray, starts: np.ndarray, n_ids: int) -> tuple[np.ndarray,
     return inputs, targets, at
 
 
-def score_ids(t: dict, ids: np.ndarray, starts: np.ndarray, batch: int = 512) -> np.ndarray:
+def score_ids(t: dict, ids: np.ndarray, starts: np.ndarray, batch: int = 64) -> np.ndarray:
     """log10 probability of each text's ids and end."""
-    inputs, targets, at = places(ids, starts, len(t["cls"]))
-    cls = np.append(t["cls"], CLASSES)
-    c_in, c_out = cls[inputs], t["cls"][targets]
+    inputs, targets, at = places(ids, starts, len(t["q"]) - 1)
     first, low, high = windows(at, SPAN, STRIDE)
     hide, gap = _mask(SPAN, STRIDE)
     far = t["far"][gap] + hide
@@ -201,29 +274,25 @@ def score_ids(t: dict, ids: np.ndarray, starts: np.ndarray, batch: int = 512) ->
         f = first[lo : lo + batch]
         keys = f[:, None] + np.arange(STRIDE - SPAN, STRIDE)
         seen = keys >= low[lo : lo + batch, None]
-        kc = c_in[np.clip(keys, 0, len(c_in) - 1)]
+        kc = inputs[np.clip(keys, 0, len(inputs) - 1)]
         qc = kc[:, SPAN - STRIDE :]
-        z = np.matmul(t["q"][qc], t["k"][kc].transpose(0, 2, 1))
+        z = np.matmul(t["q"].take(qc, 0), t["k"].take(kc, 0).transpose(0, 2, 1))
         z += far
         z += np.where(seen, np.float32(0), np.float32(-np.inf))[:, None, :]
         z -= z.max(-1, keepdims=True)
         np.exp(z, out=z)
-        h = np.matmul(z, t["v"][kc])
+        h = np.matmul(z, t["v"].take(kc, 0))
         h /= z.sum(-1, keepdims=True)
-        h += t["own"][qc]
+        h += t["own"].take(qc, 0)
         np.tanh(h, out=h)
-        o = h.reshape(-1, DIM) @ t["out"]
-        o += t["bias"]
         spots = f[:, None] + np.arange(STRIDE)
         live = (spots < high[lo : lo + batch, None]).reshape(-1)
         spots = spots.reshape(-1)[live]
-        o = o[live]
-        mine = o[np.arange(len(o)), c_out[spots]]
-        top = o.max(1)
-        o -= top[:, None]
-        np.exp(o, out=o)
-        place[spots] = mine - top - np.log(o.sum(1))
-    place += t["share"][targets]
+        hr = np.ones((len(spots), DIM + 1), np.float32)
+        hr[:, :DIM] = h.reshape(-1, DIM)[live]
+        nodes, sides, m, begin = t["tree"].paths(targets.take(spots))
+        z = sides * np.einsum("ij,ij->i", t["node"].take(nodes, 0), np.repeat(hr, m, 0))
+        place[spots] = -np.add.reduceat(np.log1p(np.exp(-np.abs(z))) + np.maximum(-z, 0), begin)
     return np.add.reduceat(place, at[:-1]) / np.log(10) if len(at) > 1 else np.zeros(0)
 
 
@@ -293,14 +362,11 @@ def score(docs: DataFrame, path: str, pattern: str, head_size: int = HEAD, sampl
     at = ids.column("id").to_numpy()
     by_id[np.where(at < 0, n_ids - 1, at)] = ids.column("c").to_numpy()
     docs_in = int(by_id[-1])
-    cls = classes_of(by_id)
-    smooth = by_id + 0.5
-    share = np.log(smooth) - np.log(np.bincount(cls, smooth, CLASSES))[cls]
     some = train.select("doc_id", text).where(F.length("t") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
-    model = Attention(n_ids, cls)
+    model = Attention(n_ids, classes_of(by_id), by_id)
     if some.num_rows:
         model.train(*Subwords(raw, pattern)(some.column("t").to_pylist()))
-    tables = sc.broadcast(model.tables(share))
+    tables = sc.broadcast(model.tables())
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_train = int(total.n or 0) + docs_in
     floor = n_train + 0.5 * (int(total.v) + (docs_in > 0) + 1)
