@@ -133,6 +133,15 @@ def test_ids_of_one_class_differ_in_context():
     assert np.exp(np.add.reduceat(-np.logaddexp(0, -z), begin)).sum() == pytest.approx(1)
 
 
+def test_short_texts_are_learnt():
+    r = np.random.default_rng(0)
+    ids, starts = r.integers(0, 99, 500), np.arange(0, 501, 5)
+    model = lm_score.Attention(100, lm_score.classes_of(np.ones(100)))
+    old = {k: v.copy() for k, v in model.w.items()}
+    model.train(ids, starts, steps=5)
+    assert all((old[k] != model.w[k]).any() for k in model.w)
+
+
 # ---------------------------------------------------------------- 3
 
 

@@ -176,11 +176,9 @@ class Attention:
         self.met = {k: np.zeros(len(v)) for k, v in self.w.items()}
 
     def train(self, ids: np.ndarray, starts: np.ndarray, steps: int | None = 700, batch: int = 64, rate: float = 0.1, seed: int = 5) -> None:
-        """Adagrad on windows as scoring has them, of texts that fill one: steps random batches, or all windows once."""
+        """Adagrad on windows as scoring has them, so every place of every text is a target: steps random batches, or all windows once."""
         inputs, targets, at = places(ids, starts, self.n_ids)
         first, low, high = windows(at, SPAN, STRIDE)
-        full = np.repeat(np.diff(at) >= SPAN, -(-np.diff(at) // STRIDE))
-        first, low, high = first[full], low[full], high[full]
         if not len(first):
             return
         r = np.random.default_rng(seed)
