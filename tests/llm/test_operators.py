@@ -142,6 +142,17 @@ def test_short_texts_are_learnt():
     assert all((old[k] != model.w[k]).any() for k in model.w)
 
 
+def test_all_training_rows_are_learnt_from(spark, monkeypatch):
+    """The first weights come from one text; the other rows' learning makes their texts likelier."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = [(i, "red fox " * 5 if i % 2 else "blue whale " * 5) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole = [x.score for x in lm_score.score(docs, path, pattern, sample=1).collect()]
+    monkeypatch.setattr(lm_score, "_learn", lambda *_: None)
+    first = [x.score for x in lm_score.score(docs, path, pattern, sample=1).collect()]
+    assert len({round(x, 9) for x in whole}) == 2 and sum(whole) > sum(first) + 4 * len(rows)
+
+
 # ---------------------------------------------------------------- 3
 
 

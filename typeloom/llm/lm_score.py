@@ -12,11 +12,16 @@ own; its output goes down a Huffman tree of all ids, each inner node of which ha
 and a bias, so each id's probability follows the context. The tree's shape and its first
 biases are the training corpus's counts, over all its rows. Windows of SPAN ids overlap:
 each scores its last STRIDE ids with at least SPAN - STRIDE ids of context before the first
-(as far as the text has them), so each id is scored once. Windows of many texts are one masked batch.
+(as far as the text has them), so each id is scored once. Windows of many texts are one
+masked batch.
 
-Learning takes the rows of which crc32(doc_id as text) mod 5 isn't 1 (null ids too). The
-counts cover all of them; the attention layer's weights are fitted in numpy on the whole
-texts of at most SAMPLE of them, in the order of a hash of their ids.
+Learning takes the rows of which crc32(doc_id as text) mod 5 isn't 1 (null ids too), and
+all places of all of them, in the same windows as scoring, however short the text. The
+driver's numpy finds common first weights on the whole texts of at most SAMPLE of them, in
+the order of a hash of their ids. From these on every row is learnt from once, in the
+executors: in each of the ROUNDS each task's rows move a copy of the model by Adagrad, and
+the tasks' moves are averaged, each row of weights by the places that met it. Scores thus
+depend a little on how the rows lie in partitions.
 
 Null and empty texts have the end only. Repeated rows get equal scores and count each in
 learning; empty tables give empty results; other columns aren't read. Memory: about
@@ -38,6 +43,10 @@ SAMPLE = 800
 CLASSES, OWN = 96, 64
 DIM = 16
 SPAN, STRIDE = 40, 32
+#: A row of weights is at most WIDE values; moves are multiples of GRAIN, so that their sums don't depend on the order.
+WIDE, GRAIN = DIM + 1, np.float32(2**-16)
+#: Sixteenths of the training rows at which the rounds of learning end.
+ROUNDS = (1, 4, 16)
 
 
 def held_out(doc_id):
@@ -196,15 +205,16 @@ class Attention:
         x = inputs[np.clip(keys, 0, len(inputs) - 1)]
         e = w["emb"].take(x, 0)
         eq = np.ascontiguousarray(e[:, SPAN - STRIDE :])
-        q, k, v = eq @ (w["q"] * scale), e @ w["k"], e @ w["v"]
+        flat = lambda t: t.reshape(-1, t.shape[-1])
+        times = lambda t, m: (flat(t) @ m).reshape(t.shape)
+        q, k, v = times(eq, w["q"] * scale), times(e, w["k"]), times(e, w["v"])
         a = q @ k.transpose(0, 2, 1)
         a += w["far"][gap, 0] + hide
         a += np.where(keys >= low[:, None], np.float32(0), np.float32(-np.inf))[:, None, :]
         a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(-1, keepdims=True)
-        h = np.tanh(a @ v + eq @ w["own"])
-        flat = lambda t: t.reshape(-1, t.shape[-1])
+        h = np.tanh(a @ v + times(eq, w["own"]))
         spots = first[:, None] + np.arange(STRIDE)
         live = np.flatnonzero(spots < high[:, None])
         y = targets[spots.reshape(-1)[live]]
@@ -221,8 +231,8 @@ class Attention:
         da = dh @ v.transpose(0, 2, 1)
         dz = a * (da - np.einsum("bij,bij->bi", da, a)[:, :, None])
         dk, dv, dq = dz.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh, (dz @ k) * scale
-        de = dk @ w["k"].T + dv @ w["v"].T
-        de[:, SPAN - STRIDE :] += dq @ w["q"].T + dh @ w["own"].T
+        de = times(dk, w["k"].T) + times(dv, w["v"].T)
+        de[:, SPAN - STRIDE :] += times(dq, w["q"].T) + times(dh, w["own"].T)
         g = {"q": flat(eq).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "own": flat(eq).T @ flat(dh)}
         g["far"] = np.bincount(gap.reshape(-1), (dz.sum(0) * (hide == 0)).reshape(-1), SPAN).astype(np.float32)[:, None]
         for name, grad in g.items():
@@ -237,6 +247,34 @@ class Attention:
         self.w[name][rows] -= rate * grad / np.sqrt(total)
         self.met[name][rows] += times
 
+    def copy(self) -> Attention:
+        """The same weights, with no places met yet; the tree is shared."""
+        new = object.__new__(Attention)
+        new.n_ids, new.tree = self.n_ids, self.tree
+        new.w, new.s = ({k: v.copy() for k, v in x.items()} for x in (self.w, self.s))
+        new.met = {k: np.zeros(len(v)) for k, v in self.met.items()}
+        return new
+
+    def moved(self, old: Attention) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of weights that learning met since old, how many places met each, and their moves (WIDE values, in steps of GRAIN)."""
+        rows, n, moves, base = [], [], [], 0
+        for name, w in self.w.items():
+            some = np.flatnonzero(self.met[name])
+            move = np.zeros((len(some), WIDE), np.float32)
+            move[:, : w.shape[1]] = np.round((w[some] - old.w[name][some]) / GRAIN) * GRAIN
+            rows.append(some + base)
+            n.append(self.met[name][some])
+            moves.append(move)
+            base += len(w)
+        return np.concatenate(rows), np.concatenate(n), np.concatenate(moves)
+
+    def add(self, rows: np.ndarray, moves: np.ndarray) -> None:
+        base = 0
+        for w in self.w.values():
+            mine = (rows >= base) & (rows < base + len(w))
+            w[rows[mine] - base] += moves[mine, : w.shape[1]].astype(np.float32)
+            base += len(w)
+
     def tables(self, share: np.ndarray | None = None) -> dict:
         """What scoring needs: queries, keys, values of each id and the start, and the tree. The tree's biases hold the share."""
         w = self.w
@@ -324,6 +362,62 @@ def _id_counts(lines, pattern: str):
     return run
 
 
+def _learned(lines, pattern: str, model):
+    """A task's rows, all of them, move its own copy of the model; yields the moves."""
+
+    def run(batches):
+        subwords, old = Subwords(lines.value, pattern), model.value
+        new, part = old.copy(), 0
+        for b in batches:
+            texts = [x.as_py() or b"" for x in b.column(0)]
+            for lo, hi in chunks(texts):
+                new.train(*subwords(texts[lo:hi]), steps=None, batch=128, seed=part)
+                part += 1
+        rows, n, moves = new.moved(old)
+        for lo in range(0, len(rows), 8192):
+            some = slice(lo, lo + 8192)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[some]), pa.array(n[some]), _lists(moves[some])], ["row", "n", "moves"])
+
+    return run
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * WIDE), pa.array(values.reshape(-1)))
+
+
+def _averaged(batches):
+    """The mean move of each row, weighted by the places that met it."""
+    total = {}
+    for b in batches:
+        n = b.column(1).to_numpy()
+        values = b.column(2).flatten().to_numpy().reshape(-1, WIDE)
+        sums = np.concatenate((values * n[:, None], n[:, None]), 1)
+        for row, x in zip(b.column(0).to_pylist(), sums):
+            if row in total:
+                total[row] += x
+            else:
+                total[row] = x.copy()
+    rows = sorted(total)
+    for lo in range(0, len(rows), 8192):
+        x = np.array([total[r] for r in rows[lo : lo + 8192]])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[lo : lo + 8192]), _lists(x[:, :WIDE] / x[:, WIDE:])], ["row", "moves"])
+
+
+def _learn(model: Attention, train: DataFrame, lines, pattern: str) -> None:
+    """Every row of train (doc_id, t) is learnt from once: by round, in the executors, and the rounds' moves are averaged."""
+    sc = train.sparkSession.sparkContext
+    tasks = 4 * sc.defaultParallelism
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS[-1]))
+    for low, high in zip((0, *ROUNDS), ROUNDS):
+        start = sc.broadcast(model)
+        some = train.where((bucket >= low) & (bucket < high)).select("t").coalesce(tasks)
+        moves = some.mapInArrow(_learned(lines, pattern, start), "row long, n double, moves array<float>")
+        mean = moves.repartition("row").mapInArrow(_averaged, "row long, moves array<double>").toArrow()
+        if mean.num_rows:
+            model.add(mean.column("row").to_numpy(), mean.column("moves").combine_chunks().flatten().to_numpy().reshape(-1, WIDE))
+        start.unpersist()
+
+
 def _scored(lines, pattern: str, tables, head):
     def run(batches):
         subwords, t = Subwords(lines.value, pattern), tables.value
@@ -364,6 +458,7 @@ def score(docs: DataFrame, path: str, pattern: str, head_size: int = HEAD, sampl
     model = Attention(n_ids, classes_of(by_id), by_id)
     if some.num_rows:
         model.train(*Subwords(raw, pattern)(some.column("t").to_pylist()))
+    _learn(model, train.select("doc_id", text), lines, pattern)
     tables = sc.broadcast(model.tables())
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_train = int(total.n or 0) + docs_in
