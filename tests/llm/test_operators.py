@@ -240,6 +240,13 @@ def test_line_dedup(spark, awkward, nothing):
     assert line_dedup.dedup_lines(awkward).count() == len(AWKWARD)
 
 
+def test_short_earliest_neighbour_hides_no_longer_one(spark):
+    """Two lines of seven words are compared for equality only, whatever comes first."""
+    docs = [(1, "a b c d e f g"), (2, "a b c d e f h x"), (3, "a b c d e f h"), (4, "a b c d e f i")]
+    out = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {1: docs[0][1], 2: docs[1][1], 3: "", 4: docs[3][1]}
+
+
 # ---------------------------------------------------------------- 6
 
 

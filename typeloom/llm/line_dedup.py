@@ -58,16 +58,19 @@ def within_one_word(a: Column, b: Column) -> Column:
     return (high - low <= 1) & (run(same) + run(back) >= high - 1)
 
 
-def variants(lines: DataFrame) -> DataFrame:
+def variants(lines: DataFrame, min_words: int) -> DataFrame:
     """h, g, at, key and role ('r': a replacement's, 's': the line itself, 'd': with a word left out).
 
     A word is left out only where the line's neighbours can differ: behind the first half
-    if only that is shared, before the last one if only that is.
+    if only that is shared, before the last one if only that is. Lines of less than
+    min_words words are no replacement of each other, so they give their own key only, and
+    every candidate keeps the length rule before the earliest is taken.
     """
     half = F.floor((F.col("n") - 1) / 2).cast("int")
     low = F.when(F.col("last"), F.lit(1)).otherwise(half + 1)
     high = F.when(F.col("first"), F.col("n")).otherwise(F.col("n") - half)
     cell = lines.select("h", "g", "at", "line", "n", F.explode(F.concat(F.array(F.lit(0)), F.sequence(low, high))).alias("i"))
+    cell = cell.where((F.col("i") == 0) | (F.col("n") >= min_words))
     rest = F.expr("concat_ws(' ', if(i > 1, substring_index(line, ' ', i - 1), null), if(i < n, substring_index(line, ' ', i - n), null))")
     cell = cell.select("h", "g", "at", "i", "n", F.when(F.col("i") == 0, F.col("line")).otherwise(rest).alias("v"))
     own = F.struct(F.lit("s").alias("role"), _hash(F.col("v"), "i").alias("key"))
@@ -98,7 +101,7 @@ def _near(lines: DataFrame, min_words: int) -> DataFrame:
 
 def _twins(texts: DataFrame, min_words: int) -> DataFrame:
     """h, g of each line that an earlier one is within a word of."""
-    found = variants(texts)
+    found = variants(texts, min_words)
     crowded = found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     found = cut(found.join(crowded, "key"))
     who = F.struct("at", "h", "g")
