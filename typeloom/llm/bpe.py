@@ -8,7 +8,7 @@
    ids; none of them is frequent enough to make a hot key.
 3. A document's rows come back to its text, which is split again (the split is cheaper
    than moving a position for each occurrence), and its ids are put together in order.
-4. Decoding joins ids with the table of their bytes and concatenates.
+4. Decoding looks each id's bytes up in the vocabulary, which each task holds as a list.
 
 Pre-tokens are known by a 64-bit hash; a document is known by a hash of its id and text, so
 equal rows share one list. Null and empty texts have no ids and decode to nothing. Empty
