@@ -65,6 +65,17 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def free_name(df: DataFrame, start: str) -> str:
+    """A column name that df hasn't, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (start, *(f"{start}{k}" for k in range(len(taken) + 1))) if n.lower() not in taken)
+
+
+def beside(df: DataFrame, value) -> DataFrame:
+    """df with one more column, the last, of a name that it hasn't."""
+    return df.withColumn(free_name(df, "beside"), value)
+
+
 def crc_mod(col, m: int):
     return F.crc32(col.cast("string").cast("binary")) % m
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import LOWER, SPLIT_ALNUM, chunks, gram_hashes, join_texts, ranges, span_hashes, word_spans
+from typeloom.llm.common import LOWER, SPLIT_ALNUM, beside, chunks, gram_hashes, join_texts, ranges, span_hashes, word_spans
 
 WINDOW = 10
 K = 5
@@ -230,7 +230,7 @@ def _clean(index: "Index"):
 def reject(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the rows that hold a window of any item; one pass for each block of items."""
     for index in _indexes(items, window, k, block_words):
-        docs = docs.withColumn("__t", F.col("text").cast("binary")).mapInArrow(_clean(index), docs.schema)
+        docs = beside(docs, F.col("text").cast("binary")).mapInArrow(_clean(index), docs.schema)
     return docs
 
 

@@ -135,27 +135,41 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text replaced by the kept lines, and n_lines, n_dropped, n_near (dropped without an equal twin)."""
-    gone = dropped_lines(docs, min_words).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_gone"), F.count_if(~F.col("exact")).alias("_near"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_gone", "_near")
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    both = rows.join(gone, rows.doc_id.eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = both.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce("_near", F.lit(0)).alias("n_near"),
+def _applied(docs: DataFrame, min_words: int) -> DataFrame:
+    """row (the docs' row as a struct), new_text, n_lines, n_dropped, n_near of each row."""
+    gone = dropped_lines(docs.select("doc_id", "text"), min_words).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"), F.count_if(~F.col("exact")).alias("near"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"), F.xxhash64("text").alias("own_th"))
+    both = rows.join(gone, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_th") == F.col("th")), "left")
+    parts = F.split("own_text", "\n", -1)
+    # What stands between one dropped line and the next, so that the cost follows the lines.
+    ends = F.concat(F.array(F.lit(-1)), F.sort_array("gone"), F.array(F.size(parts)))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), lambda i: F.slice(parts, F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1)))
+    text = F.when(F.col("gone").isNull(), F.col("own_text")).otherwise(F.array_join(kept, "\n"))
+    return both.select(
+        "row", text.alias("new_text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("near", F.lit(0)).alias("n_near"),
     )
-    return out
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with text replaced by the kept lines, and n_lines, n_dropped, n_near (dropped without an equal twin).
+
+    Columns of docs that have one of these three names give way.
+    """
+    own = ("n_lines", "n_dropped", "n_near")
+    column = lambda c: F.col("new_text") if c.lower() == "text" else F.col("row").getField(c)
+    return _applied(docs, min_words).select(*(column(c).alias(c) for c in docs.columns if c.lower() not in own), *own)
 
 
 def thin(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with their kept lines as text (n_chars follows, if there is one), without the documents of which no text is left."""
-    out = dedup_lines(docs, min_words).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    out = _applied(docs, min_words).where((F.col("n_dropped") == 0) | (F.trim("new_text") != ""))
+
+    def column(c: str) -> Column:
+        if c.lower() == "text":
+            return F.col("new_text")
+        if c.lower() == "n_chars":
+            return F.when(F.col("n_dropped") > 0, F.length("new_text")).otherwise(F.col("row").getField(c)).cast(dict(docs.dtypes)[c])
+        return F.col("row").getField(c)
+
+    return out.select(*(column(c).alias(c) for c in docs.columns))

@@ -14,8 +14,8 @@ sequence if that is shorter; nothing without words). Documents are linked if
 4. In each bucket of several classes all members are compared with one pivot, which makes
    one component of most copies. Buckets that still hold several components are dealt out
    to cells of at most about CELL x CELL members; a cell compares members of different
-   components and emits links only. No link is lost, and no pair is written before it is
-   known to be one.
+   components and emits only links that join components of its members. No connection is
+   lost, and no pair is written before it is known to be a link.
 5. Candidates whose sketches agree in less than LEAST coordinates (over six standard
    deviations below the threshold) go; the rest are confirmed on the full sets.
 6. Components by alternating star contraction, each step cut by a checkpoint.
@@ -155,7 +155,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each step hangs larger neighbours, then a node and its smaller neighbours, on the smallest
     one near; it ends when all edges are stars.
     """
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
+    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -210,16 +210,21 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id."""
-    kept = classes(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__i"), F.col("th").alias("__h"), F.col("n_shingles").alias("__n"))
-    rows = docs.withColumn("__t", F.xxhash64("text"))
-    both = rows.join(kept.distinct(), rows.doc_id.eqNullSafe(F.col("__i")) & (rows["__t"] == F.col("__h")))
+    found = classes(docs.select("doc_id", "text"), k, percent)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("i"), F.col("th").alias("h"), F.col("n_shingles").alias("n")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_th"))
+    both = rows.join(kept, F.col("own_id").eqNullSafe(F.col("i")) & (F.col("own_th") == F.col("h")))
     # Rows of an empty set are linked with nothing, not even with their copies.
-    empty, others = both.where("__n = 0"), both.where("__n > 0").dropDuplicates(["__i", "__t"])
-    return others.unionByName(empty).select(*docs.columns)
+    empty, others = both.where("n = 0"), both.where("n > 0").dropDuplicates(["i", "h"])
+    return others.unionByName(empty).select("row.*")
 
 
 def _compared(k: int, percent: int):
-    """Links (a, b) between members of different components in cells: by sketch first, then on the full sets, each pair once."""
+    """Links (a, b) between members of different components in cells: by sketch first, then on the full sets, each pair once.
+
+    A cell emits links that span its members' components only: a pair that its earlier links
+    connect already isn't compared. So a cell emits fewer links than it has members.
+    """
 
     def links(cell):
         left = [m for m in cell["members"] if m["own"] == cell["x"]]
@@ -234,6 +239,12 @@ def _compared(k: int, percent: int):
         l_bands, r_bands = bands(left), bands(right)
         own = int(np.flatnonzero(l_bands[0] == cell["key"])[0])
         sets: dict[bytes, np.ndarray] = {}
+        up = list(range(len(of)))
+
+        def top(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
 
         def full(m):
             if m["c"] not in sets:
@@ -248,10 +259,12 @@ def _compared(k: int, percent: int):
                 close &= l_bands[lo : lo + 32, None, band] != r_bands[None, :, band]
             for i, j in zip(*np.nonzero(close)):
                 p, q = left[lo + i], right[j]
-                if right is not left or lo + i < j:
+                s, t = top(l_comp[lo + i]), top(r_comp[j])
+                if s != t and (right is not left or lo + i < j):
                     x, y = full(p), full(q)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if both and 100 * both >= percent * (len(x) + len(y) - both):
+                        up[s] = t
                         yield p["c"], q["c"]
 
     def run(batches):
