@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -390,18 +391,50 @@ def test_pretokens():
             assert [buf[tokens[k] : tokens[k + 1]].tobytes().decode() for k in range(at[i], at[i + 1])] == pattern.findall(t)
 
 
-@pytest.mark.parametrize("head", [1 << 19, 3])
-def test_bpe(awkward, nothing, head):
+@pytest.mark.parametrize("block", [1 << 24, 1])
+def test_bpe(awkward, nothing, block):
     import tiktoken
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = sorted((str(x.doc_id), list(x.ids), x.decoded) for x in bpe.encode(awkward, path, public_tokenizers.PATTERN, head).collect())
+    got = sorted((str(x.doc_id), list(x.ids), x.decoded) for x in bpe.encode(awkward, path, block_bytes=block).collect())
     assert got == sorted((str(i), own.encode_ordinary(t or ""), t or "") for i, t, _ in AWKWARD)
-    one = {x.doc_id: x for x in bpe.digest(awkward, path, public_tokenizers.PATTERN, head).collect()}[7]
+    one = {x.doc_id: x for x in bpe.digest(awkward, path, block_bytes=block).collect()}[7]
     assert one.decoded_sha256 == hashlib.sha256(AWKWARD[-1][1].encode()).hexdigest()
-    assert bpe.encode(nothing, path, public_tokenizers.PATTERN, head).count() == 0
+    assert one.ids_sha256 == hashlib.sha256(" ".join(map(str, own.encode_ordinary(AWKWARD[-1][1]))).encode()).hexdigest()
+    assert bpe.encode(nothing, path, block_bytes=block).count() == 0
+
+
+def test_bpe_words():
+    """Merging, by the list and by the heap, against the library; and a brute-force decoding by the table."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    lines = bpe.read_ranks(path)
+    ranks = bpe.ranks_of(lines)
+    own = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    rng, encode, decode = random.Random(4), bpe.encoder(lines), bpe.Decoder(lines)
+    of = {k: token for token, k in ranks.items()}
+    for n in (1, 2, 3, 7, 20, 99, 100, 101, 300):
+        for letters in ("ab", "etaoinshrdlu", "aäß漢 \n"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            ids = encode(word.encode())
+            assert ids == own.encode_ordinary(word)
+            assert decode(np.array(ids))[0].tobytes() == b"".join(of[k] for k in ids) == word.encode()
+
+
+def test_bpe_tells_words_that_share_a_hash(spark, monkeypatch):
+    """The checksum stands where the hash doesn't tell words apart."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    run = bpe._blocks(4, pa.int64(), 1 << 20)
+    monkeypatch.setattr(bpe, "span_hashes", lambda buf, a, b: (np.asarray(b) - np.asarray(a)).astype(np.uint64))
+    rows = list(run([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"ab cd"])], ["doc_id", "t"])]))
+    lines = type("Lines", (), {"value": bpe.read_ranks(path)})
+    coded = list(bpe._encoded(lines, pa.int64())(iter(r for r in rows if r.column(1)[0].as_py() == 0)))
+    with pytest.raises(ValueError):
+        list(bpe._assembled(lines, True)(iter([*coded, *sorted((r for r in rows if r.column(1)[0].as_py()), key=lambda r: r.column(1)[0].as_py())])))
+    monkeypatch.undo()
 
 
 # ---------------------------------------------------------------- the pipeline

@@ -1,25 +1,30 @@
 """Byte-level BPE encoding and decoding with a global distinct-word shuffle.
 
-1. Texts are split into pre-tokens by the public pattern; each pre-token's occurrences are
-   counted in the partition, then over all partitions, and each distinct one is encoded
-   once, wherever it occurs.
-2. The HEAD most frequent pre-tokens' ids (a documented bound) go to all executors. Every
-   other pre-token of a document is a row (hash, document) that is joined with the table of
-   ids; none of them is frequent enough to make a hot key.
-3. A document's rows come back to its text, which is split again (the split is cheaper
-   than moving a position for each occurrence), and its ids are put together in order.
-4. Decoding looks each id's bytes up in the vocabulary, which each task holds as a list.
-
-Pre-tokens are known by a 64-bit hash; a document is known by a hash of its id and text, so
-equal rows share one list. Null and empty texts have no ids and decode to nothing. Empty
-tables give empty results. Other columns aren't read. Memory: about 4 CHUNK_BYTES of text
-at a time, or the longest text.
+1. Each task deals its texts out to blocks of about BLOCK_BYTES. A block's texts are split
+   into pre-tokens by the public pattern; its distinct ones (the words) are numbered, the most
+   frequent first, and the texts become sequences of positions' word numbers.
+2. A block's words go by a hash to buckets, one packed row for each block and bucket. A
+   bucket meets all blocks' rows of the same words and encodes each distinct word once, by
+   merging its bytes in the order of the ranks.
+3. The ids go back to the words' blocks, joined on (block, bucket, place), and meet the
+   sequences there: each position takes its word's ids, in order. Texts are never moved.
+4. Decoding joins each id with the table of tokens' bytes (as large as the vocabulary, so
+   broadcast as one array) and puts the bytes in the positions' order. What comes out is
+   compared with the text's own checksum, so words that share a hash can't pass unnoticed.
+
+A word occurs once in a block's rows, however frequent it is, so no key is hot. Null and
+empty texts have no ids and decode to nothing; repeated rows are rows of their own; empty
+tables give empty results. Other columns aren't read. Memory: a block's positions and words
+(a few times BLOCK_BYTES), or the longest text; a bucket's distinct words.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.llm import pretokens
-from typeloom.llm.common import CHUNK_BYTES, chunks, ranges, span_hashes, stash
+from typeloom.llm.common import chunks, cut, ranges, span_hashes
 
-#: Pre-tokens whose ids are sent to all executors.
-HEAD = 1 << 19
+BLOCK_BYTES = 16 << 20
+_NONE = 1 << 62
 
 
 def read_ranks(path: str) -> bytes:
@@ -44,161 +49,288 @@ def ranks_of(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
 
 
-def encoder(lines: bytes, pattern: str):
-    """A function from a pre-token's bytes to its ids."""
-    import tiktoken
+def encoder(lines: bytes) -> Callable[[bytes], list[int]]:
+    """A function from a pre-token's bytes to its ids: the pair of the lowest rank (the first of equal ones) is merged until none is left."""
+    ranks = ranks_of(lines)
+    rank = ranks.get
+
+    def encode(piece: bytes) -> list[int]:
+        whole = rank(piece)
+        if whole is not None:
+            return [whole]
+        if len(piece) > 100:
+            return _merged_long(piece, ranks)
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [rank(piece[i : i + 2], _NONE) for i in range(len(piece) - 1)]
+        while pairs and (low := min(pairs)) != _NONE:
+            i = pairs.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], _NONE)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], _NONE)
+        return [ranks[p] for p in parts]
+
+    return encode
+
+
+def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for long pieces, with a heap of pairs: its cost follows n log n, not the square of n."""
+    n = len(piece)
+    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    alive = [True] * n
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i]
+        if not alive[i] or j >= n or end[j] != stop:  # a part of the pair has changed since
+            continue
+        end[i], after[i], alive[j] = stop, after[j], False
+        if after[j] < n:
+            before[after[j]] = i
+        for left in (before[i], i):
+            if left >= 0 and after[left] < n and (r := ranks.get(piece[left : end[after[left]]])) is not None:
+                heapq.heappush(heap, (r, left, end[after[left]]))
+    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+
+
+# ---------------------------------------------------------------- packed rows
+
+
+def _press(*parts: np.ndarray) -> bytes:
+    """Arrays of whole numbers as one compressed byte string: each with its size and width."""
+    out = []
+    for x in parts:
+        top = int(x.max()) if len(x) else 0
+        kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32
+        out += [len(x).to_bytes(8, "little"), bytes([np.dtype(kind).itemsize]), x.astype(kind).tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+
+
+def _open(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        n, width = int.from_bytes(raw[at : at + 8], "little"), raw[at + 8]
+        out.append(np.frombuffer(raw, f"u{width}", n, at + 9))
+        at += 9 + n * width
+    return out
+
+
+def _press_numbers(x: np.ndarray) -> bytes:
+    """Numbers of which most are small: a byte each, and the larger ones beside."""
+    big = x[x >= 255] - 255
+    return _press(np.minimum(x, 255), np.minimum(big, 65535), big[big >= 65535] - 65535)
+
+
+def _open_numbers(data: bytes) -> np.ndarray:
+    low, mid, high = _open(data)
+    big = mid.astype(np.int64)
+    big[mid == 65535] += high
+    out = low.astype(np.int64)
+    out[low == 255] += big
+    return out
+
+
+# ---------------------------------------------------------------- texts to blocks
+
+#: block, kind, part, then by kind: 0 a bucket's words (later their ids), 1 each word's bucket, 2 some texts' sequences.
+_ROW = "block long, kind int, part int, data binary, ids array<{kind}>, sizes binary"
+
+
+class _Block:
+    """Texts of a task, their words numbered together."""
+
+    def __init__(self):
+        self.size, self.name, self.parts = 0, hashlib.blake2b(digest_size=8), []
+
+    def add(self, ids: pa.Array, texts: list[bytes]) -> None:
+        buf, tokens, at = pretokens.split(texts)
+        sizes = np.diff(tokens)
+        keys, first, back, n = np.unique(span_hashes(buf, tokens[:-1], tokens[1:]), return_index=True, return_inverse=True, return_counts=True)
+        words = buf[ranges(tokens[first], sizes[first])]
+        self.parts.append((ids, np.diff(at), [zlib.crc32(t) for t in texts], keys, words, sizes[first], n, back.astype(np.int32)))
+        self.size += len(buf)
+        for t in texts:
+            self.name.update(len(t).to_bytes(8, "little"))
+            self.name.update(t)
+
+    def rows(self, buckets: int):
+        """(kind, part, data, ids, sizes) of all rows."""
+        each = list(zip(*self.parts))
+        keys, words, sizes, n = (np.concatenate(x) for x in each[3:7])
+        keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        count = np.bincount(back, n, len(keys))
+        order = np.argsort(-count, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        bucket, first = (keys[order] % np.uint64(buckets)).astype(np.int64), first[order]
+        start = np.cumsum(sizes) - sizes
+        yield 1, 0, _press(bucket), None, None
+        by = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(edges)):
+            mine = first[by[edges[k] : edges[k + 1]]]
+            yield 0, int(k), _press(sizes[mine], words[ranges(start[mine], sizes[mine])]), None, None
+        done = 0
+        for part, (ids, texts, sums, own, _, _, _, places) in enumerate(self.parts):
+            spots = number[back[done : done + len(own)]][places]
+            done += len(own)
+            yield 2, part, _press_numbers(spots), ids, _press(texts, np.array(sums, np.int64))
+
+
+def _blocks(buckets: int, kind: pa.DataType, most: int):
+    def told(block: _Block):
+        name = int.from_bytes(block.name.digest(), "little", signed=True)
+        for k, part, data, ids, sizes in block.rows(buckets):
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids) if ids is not None else pa.nulls(1, pa.list_(kind))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary()), lists, pa.array([sizes], pa.binary())], ["block", "kind", "part", "data", "ids", "sizes"])
 
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks_of(lines), special_tokens={})._encode_single_piece
+    def run(batches):
+        block = _Block()
+        for b in batches:
+            texts = [t.as_py() or b"" for t in b.column(1)]
+            for lo, hi in chunks(texts):
+                block.add(b.column(0).slice(lo, hi - lo), texts[lo:hi])
+                if block.size >= most:
+                    yield from told(block)
+                    block = _Block()
+        if block.parts:
+            yield from told(block)
 
+    return run
 
-def gathered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Slices of buf as a binary array."""
-    sizes = ends - starts
-    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buf[ranges(starts, sizes)]))])
 
+# ---------------------------------------------------------------- words to ids, and back
 
-def _counted(batches):
-    """word, n: occurrences of each distinct pre-token in some of the partition's text."""
-    for b in batches:
-        texts = [t.as_py() or b"" for t in b.column(0)]
-        for lo, hi in chunks(texts, 4 * CHUNK_BYTES):
-            buf, tokens, _ = pretokens.split(texts[lo:hi])
-            h = span_hashes(buf, tokens[:-1], tokens[1:])
-            _, first, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([gathered(buf, tokens[first], tokens[first + 1]), pa.array(n.astype(np.int64))], ["word", "n"])
 
+def _encoded(lines, kind: pa.DataType):
+    """Rows of words become rows of ids; each distinct word of the task's buckets is encoded once."""
 
-def _encoded(lines, pattern: str):
     def run(batches):
-        encode = encoder(lines.value, pattern)
+        encode, known = encoder(lines.value), {}
         for b in batches:
-            words = b.column(0).to_pylist()
-            buf = np.frombuffer(b"".join(words), np.uint8)
-            ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-            h = span_hashes(buf, ends - [len(w) for w in words], ends) if words else np.zeros(0, np.uint64)
-            ids = pa.array([np.array(encode(w), np.uint32).tobytes() for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1), ids], ["h", "n", "ids"])
+            out = []
+            for data in b.column(3).to_pylist():
+                sizes, flat = _open(data)
+                raw, at, ids = flat.tobytes(), 0, []
+                for n in sizes.tolist():
+                    word = raw[at : at + n]
+                    at += n
+                    mine = known.get(word)
+                    if mine is None:
+                        mine = known[word] = encode(word)
+                    ids.append(mine)
+                out.append(_press(np.array([len(x) for x in ids]), np.array([k for x in ids for k in x])))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(out, pa.binary()), pa.nulls(b.num_rows, pa.list_(kind)), pa.nulls(b.num_rows, pa.binary())], ["block", "kind", "part", "data", "ids", "sizes"])
 
     return run
 
 
-def vocabulary(texts: DataFrame, lines, pattern: str) -> DataFrame:
-    """h, n, ids of each distinct pre-token of all texts."""
-    counts = texts.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.mapInArrow(_encoded(lines, pattern), "h long, n long, ids binary")
-
+class Decoder:
+    """The table of tokens' bytes, joined with ids by their place in it."""
 
-def _rare(head):
-    """key, h: each document's pre-tokens that aren't in the head."""
-
-    def run(batches):
-        known = head.value[0]
-        for b in batches:
-            keys = b.column(0).to_numpy()
-            texts = [t.as_py() or b"" for t in b.column(1)]
-            for lo, hi in chunks(texts):
-                buf, tokens, at = pretokens.split(texts[lo:hi])
-                h = span_hashes(buf, tokens[:-1], tokens[1:])
-                k = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                rare = np.flatnonzero(known[k] != h) if len(known) else np.arange(len(h))
-                doc = keys[lo:hi][np.searchsorted(at, rare, "right") - 1]
-                pair = np.unique(np.column_stack([doc, h[rare].view(np.int64)]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["key", "h"])
+    def __init__(self, lines: bytes):
+        ranks = ranks_of(lines)
+        self.sizes = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        for token, k in ranks.items():
+            self.sizes[k] = len(token)
+        self.at = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
 
-    return run
+    def __call__(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids' bytes, and where each id's end."""
+        n = self.sizes[ids]
+        return self.flat[ranges(self.at[ids], n)], np.cumsum(n)
 
 
-def _packed(batches):
-    press = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress(t.as_py() or b"") for t in b.column(2)], pa.binary())], ["doc_id", "key", "z"])
+class _Dictionary:
+    """A block's ids by word number, from the rows of its buckets and the buckets of its words."""
 
+    def __init__(self, buckets: np.ndarray, rows: dict[int, bytes]):
+        counts, parts = [], []
+        for k in sorted(rows):
+            n, ids = _open(rows[k])
+            counts.append(n.astype(np.int64))
+            parts.append(ids.astype(np.int64))
+        n, flat = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (counts, parts))
+        if len(n) != len(buckets):
+            raise ValueError("a block's words and its ids don't meet: docs must give the same rows each time")
+        order = np.argsort(buckets, kind="stable")  # the words as the buckets list them
+        start = np.cumsum(n) - n
+        self.n, self.start, self.flat = np.empty_like(n), np.empty_like(n), flat
+        self.n[order], self.start[order] = n, start
 
-class _Assembler:
-    """Ids of documents from the head and each document's own rare pre-tokens."""
+    def ids(self, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All positions' ids, and where each position's end."""
+        n = self.n[spots]
+        return self.flat[ranges(self.start[spots], n)], np.cumsum(n)
 
-    def __init__(self, head, lines):
-        self.hashes, offsets, ids = head.value
-        self.parts = [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        of = {rank: token for token, rank in ranks_of(lines.value).items()}
-        self.bytes_of = [of.get(k, b"") for k in range(max(of, default=-1) + 1)]
 
-    def documents(self, texts: list[bytes], rare: list):
-        """The id arrays of each text."""
-        buf, tokens, at = pretokens.split(texts)
-        h = span_hashes(buf, tokens[:-1], tokens[1:])
-        n = len(self.hashes)
-        k = np.minimum(np.searchsorted(self.hashes, h), max(n - 1, 0))
-        known = self.hashes[k] == h if n else np.zeros(len(h), bool)
-        for i in range(len(texts)):
-            mine = k[at[i] : at[i + 1]].tolist()
-            own = rare[i] or {}
-            missing = np.flatnonzero(~known[at[i] : at[i + 1]])
-            parts = [self.parts[j] for j in mine] if n else [None] * len(mine)
-            for j, x in zip(missing.tolist(), h[at[i] : at[i + 1]][missing].view(np.int64).tolist()):
-                parts[j] = own[x]
-            yield np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join([self.bytes_of[k] for k in ids.tolist()])
-
-
-def _assembled(head, lines, digests: bool):
+def _assembled(lines, digests: bool):
     def run(batches):
-        whole = _Assembler(head, lines)
-        open_ = zstandard.ZstdDecompressor()
+        decode = Decoder(lines.value)
+        names = [str(k) for k in range(len(decode.sizes))]
+        here, rows, words = None, {}, None
         for b in batches:
-            z, lists = b.column(1).to_pylist(), b.column(2).to_pylist()
-            texts = [open_.decompress(x) for x in z]
-            rare = [{r["h"]: np.frombuffer(r["ids"], np.uint32) for r in x} if x else None for x in lists]
-            out = []
-            for lo, hi in chunks(texts):
-                for ids in whole.documents(texts[lo:hi], rare[lo:hi]):
-                    if digests:
-                        listed = ids.tolist()
-                        text = " ".join(map(str, listed))
-                        out.append((len(listed), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(whole.decode(ids)).hexdigest()))
-                    else:
-                        out.append((len(ids), ids.astype(np.int32), whole.decode(ids)))
-            n, a, c = zip(*out) if out else ((), (), ())
+            for i in range(b.num_rows):
+                block, kind, part, data = (b.column(k)[i].as_py() for k in range(4))
+                if block != here:
+                    here, rows, words = block, {}, None
+                if kind == 0:
+                    rows[part] = data
+                elif kind == 1:
+                    words = words or _Dictionary(_open(data)[0], rows)
+                else:
+                    yield texts(b.column(4)[i].values, _open(b.column(5)[i].as_py()), words.ids(_open_numbers(data)), decode, names)
+
+    def texts(docs, sizes, found, decode, names):
+        (ids, ends), (n_words, sums) = found, sizes
+        spots = np.concatenate(([0], np.cumsum(n_words.astype(np.int64))))
+        at = np.concatenate(([0], ends))[spots]
+        flat, stops = decode(ids)
+        cuts = np.concatenate(([0], stops))[at].tolist()
+        raw, at, out = flat.tobytes(), at.tolist(), []
+        for i, check in enumerate(sums.tolist()):
+            text = raw[cuts[i] : cuts[i + 1]]
+            if zlib.crc32(text) != check:
+                raise ValueError("a text's ids don't decode to it: two words share a hash")
+            mine = ids[at[i] : at[i + 1]]
             if digests:
-                lists = pa.array(a, pa.string())
+                listed = " ".join([names[k] for k in mine.tolist()])
+                out.append((len(mine), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
             else:
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(a) if a else np.zeros(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), lists, pa.array(c, pa.string() if digests else pa.binary())], ["doc_id", "n_tokens", "a", "b"])
+                out.append((len(mine), mine.astype(np.int32), text))
+        n, a, c = zip(*out)
+        lists = pa.array(a, pa.string()) if digests else pa.array([x.tolist() for x in a], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([docs, pa.array(n, pa.int64()), lists, pa.array(c, pa.string() if digests else pa.binary())], ["doc_id", "n_tokens", "a", "b"])
 
     return run
 
 
-def _parts(docs: DataFrame, path: str, pattern: str, head_size: int):
-    sc = docs.sparkSession.sparkContext
-    lines = sc.broadcast(read_ranks(path))
-    key = F.xxhash64("doc_id", "text").alias("key")
-    # These tables stay in the shared folder: the result, which isn't computed yet, reads them.
-    words, _ = stash(vocabulary(docs.select(F.col("text").cast("binary").alias("t")), lines, pattern))
-    top = words.orderBy(F.desc("n"), "h").limit(head_size).toArrow()
-    h = top.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    ids = top.column("ids").take(pa.array(order)).to_pylist()
-    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int64)
-    head = sc.broadcast((h[order], offsets, np.frombuffer(b"".join(ids), np.uint32)))
-    rare = docs.select(key, F.col("text").cast("binary").alias("t")).mapInArrow(_rare(head), "key long, h long")
-    found, _ = stash(rare.join(words.select("h", "ids"), "h").groupBy("key").agg(F.collect_list(F.struct("h", "ids")).alias("rare")))
-    kind = dict(docs.dtypes)["doc_id"]
-    packed = docs.select("doc_id", key, F.col("text").cast("binary").alias("t")).mapInArrow(_packed, f"doc_id {kind}, key long, z binary")
-    return packed.join(found, "key", "left").select("doc_id", "z", "rare"), head, lines, kind
-
-
-def encode(docs: DataFrame, path: str, pattern: str, head_size: int = HEAD) -> DataFrame:
+def _coded(docs: DataFrame, path: str, pattern: str, digests: bool, block_bytes: int) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    if pattern != pretokens.PATTERN:
+        raise ValueError("texts are split by pretokens.PATTERN only")
+    spark = docs.sparkSession
+    lines = spark.sparkContext.broadcast(read_ranks(path))
+    kind, arrow = dict(docs.dtypes)["doc_id"], to_arrow_type(docs.schema["doc_id"].dataType)
+    # As many buckets as the shuffle has partitions, so that a bucket's words grow no faster than a partition.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    row = _ROW.format(kind=kind)
+    rows = cut(docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(_blocks(buckets, arrow, block_bytes), row))
+    ids = rows.where("kind = 0").repartition("part").mapInArrow(_encoded(lines, arrow), row)
+    met = rows.where("kind > 0").unionByName(ids).repartition("block").sortWithinPartitions("block", "kind", "part")
+    return met.mapInArrow(_assembled(lines, digests), f"doc_id {kind}, n_tokens long, a {'string' if digests else 'array<int>'}, b {'string' if digests else 'binary'}")
+
+
+def encode(docs: DataFrame, path: str, pattern: str = pretokens.PATTERN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids, decoded (the text that the ids stand for) of each row."""
-    rows, head, lines, kind = _parts(docs, path, pattern, head_size)
-    out = rows.mapInArrow(_assembled(head, lines, False), f"doc_id {kind}, n_tokens long, a array<int>, b binary")
-    return out.select("doc_id", "n_tokens", F.col("a").alias("ids"), F.decode("b", "utf-8").alias("decoded"))
+    return _coded(docs, path, pattern, False, block_bytes).select("doc_id", "n_tokens", F.col("a").alias("ids"), F.decode("b", "utf-8").alias("decoded"))
 
 
-def digest(docs: DataFrame, path: str, pattern: str, head_size: int = HEAD) -> DataFrame:
+def digest(docs: DataFrame, path: str, pattern: str = pretokens.PATTERN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, by the same way as encode."""
-    rows, head, lines, kind = _parts(docs, path, pattern, head_size)
-    out = rows.mapInArrow(_assembled(head, lines, True), f"doc_id {kind}, n_tokens long, a string, b string")
-    return out.withColumnsRenamed({"a": "ids_sha256", "b": "decoded_sha256"})
+    return _coded(docs, path, pattern, True, block_bytes).withColumnsRenamed({"a": "ids_sha256", "b": "decoded_sha256"})

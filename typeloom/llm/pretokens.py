@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 import regex
 
+#: Fixed value: the public pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 _TABLE: list[np.ndarray] = []
 
