@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from typeloom.llm import pretokens
 from typeloom.llm.common import chunks, cut, ranges, span_hashes
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 _NONE = 1 << 62
 
 
@@ -119,20 +119,39 @@ def _open(data: bytes) -> list[np.ndarray]:
 
 
 def _press_numbers(x: np.ndarray) -> bytes:
-    """Numbers of which most are small: a byte each, and the larger ones beside."""
+    """Numbers of which most are small: a byte each, and the larger ones beside, by bytes, each compressed by itself."""
     big = x[x >= 255] - 255
-    return _press(np.minimum(x, 255), np.minimum(big, 65535), big[big >= 65535] - 65535)
+    planes = [np.minimum(x, 255), *(big >> k & 255 for k in (0, 8, 16, 24))]
+    press = zstandard.ZstdCompressor(level=1)
+    return b"".join(len(z).to_bytes(8, "little") + z for z in (press.compress(p.astype(np.uint8).tobytes()) for p in planes))
 
 
 def _open_numbers(data: bytes) -> np.ndarray:
-    low, mid, high = _open(data)
-    big = mid.astype(np.int64)
-    big[mid == 65535] += high
-    out = low.astype(np.int64)
-    out[low == 255] += big
+    open_, at, planes = zstandard.ZstdDecompressor(), 0, []
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        planes.append(np.frombuffer(open_.decompress(data[at + 8 : at + 8 + n]), np.uint8))
+        at += 8 + n
+    out = planes[0].astype(np.int64)
+    out[planes[0] == 255] += sum(p.astype(np.int64) << 8 * k for k, p in enumerate(planes[1:]))
     return out
 
 
+#: A byte that no text holds, as UTF-8 hasn't got it.
+_GAP = b"\xff"
+
+
+def _press_words(sizes: np.ndarray, flat: np.ndarray) -> bytes:
+    """Words, each followed by a gap."""
+    out = np.full(len(flat) + len(sizes), _GAP[0], np.uint8)
+    out[ranges(np.cumsum(sizes + 1) - sizes - 1, sizes)] = flat
+    return zstandard.ZstdCompressor(level=9).compress(out.tobytes())
+
+
+def _open_words(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(_GAP)[:-1]
+
+
 # ---------------------------------------------------------------- texts to blocks
 
 #: block, kind, part, then by kind: 0 a bucket's words (later their ids), 1 each word's bucket, 2 some texts' sequences.
@@ -172,7 +191,7 @@ class _Block:
         edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(edges)):
             mine = first[by[edges[k] : edges[k + 1]]]
-            yield 0, int(k), _press(sizes[mine], words[ranges(start[mine], sizes[mine])]), None, None
+            yield 0, int(k), _press_words(sizes[mine], words[ranges(start[mine], sizes[mine])]), None, None
         done = 0
         for part, (ids, texts, sums, own, _, _, _, places) in enumerate(self.parts):
             spots = number[back[done : done + len(own)]][places]
@@ -213,11 +232,8 @@ def _encoded(lines, kind: pa.DataType):
         for b in batches:
             out = []
             for data in b.column(3).to_pylist():
-                sizes, flat = _open(data)
-                raw, at, ids = flat.tobytes(), 0, []
-                for n in sizes.tolist():
-                    word = raw[at : at + n]
-                    at += n
+                ids = []
+                for word in _open_words(data):
                     mine = known.get(word)
                     if mine is None:
                         mine = known[word] = encode(word)
