@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -370,11 +371,99 @@ def test_webp_predictor_and_references():
     assert got[:, :, 1].tolist() == [[1, 2], [2, 3]] and got[0, 0, 3] == 255
 
 
+def test_webp_meta_codes():
+    """Two groups of codes, dealt out by blocks of 4 x 4 pixels."""
+    w = Writer()
+    w.put(0, 1)  # no transforms
+    w.put(0, 1), w.put(1, 1), w.put(0, 3)  # no cache; groups by blocks
+    w.put(0, 1)  # the groups' image: 2 x 1, group 0 and 1 in its green
+    w.two(0, 1), w.one(0), w.one(0), w.one(0), w.one(0)
+    w.put(0, 1), w.put(1, 1)
+    for green in (7, 9):
+        w.one(green), w.one(1), w.one(2), w.one(255), w.one(0)
+    got = webp.decode(w.file(8, 1))
+    assert got[0].tolist() == [[1, 7, 2, 255]] * 4 + [[1, 9, 2, 255]] * 4
+
+
+def images():
+    rng = np.random.default_rng(1)
+    g = rng.integers(0, 256, (40, 50))
+    signed = ((g + 128) & 255) - 128
+    words = rng.integers(0, 256, (12, 4))[rng.integers(0, 12, (30, 90))]
+    return {
+        "noise": (rng.integers(0, 256, (9, 7, 4)), None),
+        "flat": (np.full((3, 5, 4), 7), (3,)),
+        "pixel": (rng.integers(0, 256, (1, 1, 4)), ()),
+        "slope": (np.add.outer(np.arange(40), np.arange(60))[:, :, None] + np.array([0, 10, 30, 90]), (0, 2)),
+        "two colours": (rng.integers(0, 2, (5, 9, 1)) * np.array([1, 2, 3, 4]), (3,)),
+        "palette": (words, (3,)),
+        "green": (np.stack([g + 3, g, g - 5, g * 0 + 255], -1), None),
+        "cross": (np.stack([(signed * 20 >> 5) + rng.integers(0, 3, g.shape), g, signed * -9 >> 5, g * 0 + 255], -1), (1,)),
+        "cache": (np.where(rng.random((60, 90, 1)) < 0.5, words.repeat(2, 0), rng.integers(0, 256, (60, 90, 4))), None),
+        "repeated": (np.tile(rng.integers(0, 256, (30, 40, 4)), (3, 1, 1)), None),
+    }
+
+
+def test_webp_round_trip():
+    """Each transform, references and the cache, by the lockstep reader and by the reader of single pixels."""
+    pixels = {k: (x & 255).astype(np.uint8) for k, (x, _) in images().items()}
+    files = {k: webp.encode(x) for k, x in pixels.items()}
+    together = dict(zip(files, webp.decode_many(list(files.values()))))
+    for k, (_, undo) in images().items():
+        f = webp._File(files[k])
+        assert undo is None or tuple(u[0] for u in f.undo) == undo, k
+        assert (together[k] == pixels[k]).all() and (f.finish(f.head.read(f.bits)) == pixels[k]).all(), k
+    assert webp._File(files["cache"]).head.cache_bits
+    assert len(files["repeated"]) < pixels["repeated"].size / 2 and len(files["slope"]) < 300
+    with pytest.raises((ValueError, IndexError)):
+        webp.decode(files["noise"][:60])
+
+
+@pytest.mark.parametrize("mode", range(14))
+def test_webp_predictors(mode):
+    """The decoder's runs against one pixel after the other."""
+    rng = np.random.default_rng(mode)
+    c, width = rng.integers(0, 256, (7 * 9, 4)), 9
+    got = webp._channels(webp._undo_predictor(webp._joined(c), width, np.full(9, mode << 8, np.uint32), 2))
+    want = c.copy()
+    for i in range(len(c)):
+        x, y = i % width, i // width
+        guess = np.array([255, 0, 0, 0]) if not i else want[i - 1] if not y else want[i - width] if not x else webp._predicted(mode, want[i - 1], want[i - width], want[i - width - 1], want[i - width + 1])
+        want[i] = want[i] + guess & 0xFF
+    assert (got == want).all()
+
+
+def test_code_lengths():
+    rng = np.random.default_rng(2)
+    for counts in (rng.integers(0, 9, 40), 2 ** np.arange(30), np.array([0, 5, 0]), np.array([1, 1])):
+        n = webp.code_lengths(counts, 11)
+        assert ((n > 0) == (counts > 0)).all() and n.max() <= 11
+        assert np.count_nonzero(n) < 2 or (2.0 ** -n[n > 0]).sum() == 1
+
+
 def test_media_rows(awkward, nothing):
     rows = media.describe(awkward).collect()
     assert len(rows) == len(AWKWARD) and len({(x.n_bytes, x.media_sha256, x.feature) for x in rows if x.n_bytes == 0}) == 1
+    texts = sorted((t or "").encode() for _, t, _ in AWKWARD)
+    for raw, x in zip(texts, sorted(rows, key=lambda x: texts.index(next(t for t in texts if hashlib.sha256(padded(t)).hexdigest() == x.payload_sha256)))):
+        whole = padded(raw)
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]))
     assert media.describe(nothing).count() == 0
-    assert {x.n_bytes: len(x.media) for x in media.media_column(awkward).collect()}[3] == 626
+    for x in media.media_column(awkward).collect():
+        assert media.load(bytes(x.media)).tobytes()[: x.n_bytes].decode() in [t or "" for _, t, _ in AWKWARD]
+
+
+def padded(raw):
+    return raw + b"\xff" * (576 * max(1, -(-len(raw) // 576)) - len(raw))
+
+
+def test_media_uses_codes(spark):
+    """Every document's files are prefix-coded, smaller than the payload in all, and read back whole."""
+    rows = media.media_column(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    heads = [webp._File(f) for x in rows for f in media.files_of(bytes(x.media))]
+    assert sum(len(x.media) for x in rows) < 0.75 * sum(x.n_bytes for x in rows)
+    assert all(f.in_lockstep() for f in heads) and any(f.head.cache_bits for f in heads)
+    assert not any(c.lengths[:256] == [8] * 256 for f in heads for c in f.head.groups[0])
 
 
 # ---------------------------------------------------------------- 10

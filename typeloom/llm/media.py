@@ -1,12 +1,13 @@
 """Media columns: texts' bytes as lossless WebP images, read back and described.
 
 A text's UTF-8 bytes, filled up with bytes 255 to a positive multiple of UNIT, are the
-RGBA samples of images that are UNIT bytes (144 pixels) wide; a text of more than 16384
-rows takes several files, one after the other. Every stored file is decoded again, and
-digests and features come from the decoded pixels. One pass over the rows: no shuffle.
+RGBA samples of images that are UNIT bytes (144 pixels) wide; a text of more than ROWS rows
+takes several files, one after the other, so that files are alike in size and many are
+decoded in lockstep. Every stored file is decoded again, and digests and features come from
+the decoded pixels. One pass over the rows: no shuffle.
 
-Null and empty texts are one row of bytes 255. Equal texts give equal values. Memory
-follows the longest text. Empty tables give none; other columns aren't read.
+Null and empty texts are one row of bytes 255. Equal texts give equal values. Memory: a few
+times 4 CHUNK_BYTES of text, or the longest text. Empty tables give none; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.llm import webp
+from typeloom.llm.common import CHUNK_BYTES, chunks
 
 UNIT = 576
+#: Rows of pixels in one file at most.
+ROWS = 24
 
 
 def payload_of(text: bytes | None) -> bytes:
@@ -32,17 +36,32 @@ def payload_of(text: bytes | None) -> bytes:
 
 def store(payload: bytes) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, UNIT // 4, 4)
-    return b"".join(webp.encode(rows[k : k + webp.MAX_SIDE]) for k in range(0, len(rows), webp.MAX_SIDE))
+    return b"".join(webp.encode(rows[k : k + ROWS]) for k in range(0, len(rows), ROWS))
 
 
-def load(media: bytes) -> np.ndarray:
-    """The pixels of all files in media, below each other."""
-    parts, at = [], 0
+def files_of(media: bytes) -> list[bytes]:
+    """The files that stand after each other in media."""
+    out, at = [], 0
     while at < len(media):
         size = 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
-        parts.append(webp.decode(media[at : at + size]))
+        out.append(media[at : at + size])
         at += size
-    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+    return out
+
+
+def load_many(media: list[bytes]) -> list[np.ndarray]:
+    """For each value of a media column the pixels of all its files, below each other."""
+    files = [files_of(m) for m in media]
+    images = iter(webp.decode_many([f for some in files for f in some]))
+    out = []
+    for some in files:
+        parts = [next(images) for _ in some]
+        out.append(np.concatenate(parts) if len(parts) > 1 else parts[0])
+    return out
+
+
+def load(media: bytes) -> np.ndarray:
+    return load_many([media])[0]
 
 
 def feature(pixels: np.ndarray) -> str:
@@ -54,13 +73,12 @@ def feature(pixels: np.ndarray) -> str:
 
 def _described(batches):
     for b in batches:
-        out = []
-        for text in b.column(1):
-            raw = text.as_py() or b""
-            media = store(payload_of(raw))
-            pixels = load(media)
-            back = pixels.tobytes()
-            out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels)))
+        texts, out = [t.as_py() or b"" for t in b.column(1)], []
+        for lo, hi in chunks(texts, 4 * CHUNK_BYTES):
+            stored = [store(payload_of(t)) for t in texts[lo:hi]]
+            for raw, media, pixels in zip(texts[lo:hi], stored, load_many(stored)):
+                back = pixels.tobytes()
+                out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels)))
         cols = list(zip(*out)) if out else [()] * 7
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
