@@ -394,7 +394,7 @@ def images():
         "noise": (rng.integers(0, 256, (9, 7, 4)), None),
         "flat": (np.full((3, 5, 4), 7), (3,)),
         "pixel": (rng.integers(0, 256, (1, 1, 4)), ()),
-        "slope": (np.add.outer(np.arange(40), np.arange(60))[:, :, None] + np.array([0, 10, 30, 90]), (0, 2)),
+        "slope": (np.add.outer(np.arange(40), np.arange(60))[:, :, None] + np.array([0, 10, 30, 90]), (0,)),
         "two colours": (rng.integers(0, 2, (5, 9, 1)) * np.array([1, 2, 3, 4]), (3,)),
         "palette": (words, (3,)),
         "green": (np.stack([g + 3, g, g - 5, g * 0 + 255], -1), None),

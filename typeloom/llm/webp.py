@@ -111,8 +111,10 @@ def _read_code(bits: Bits, size: int) -> Code:
             lengths[s] = 1
         return Code(lengths)
     of_lengths = [0] * 19
-    for k in LENGTH_ORDER[: 4 + bits.read(4)]:
-        of_lengths[k] = bits.read(3)
+    stored = LENGTH_ORDER[: 4 + bits.read(4)]
+    sizes = bits.read(3 * len(stored))
+    for i, k in enumerate(stored):
+        of_lengths[k] = sizes >> 3 * i & 7
     code = Code(of_lengths)
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     lengths, last = [], 8
@@ -148,6 +150,23 @@ def _read_code(bits: Bits, size: int) -> Code:
     return Code(lengths + [0] * (size - len(lengths)))
 
 
+def _read_codes(bits: Bits, sizes: tuple[int, ...]) -> list[Code]:
+    """A group's codes. A code whose bits repeat those of the one before, for as many symbols, is that one."""
+    out, before = [], (0, 0, 0)
+    for size in sizes:
+        start = bits.at
+        n, width, value = before
+        if n == size and start + width <= 8 * len(bits.data):
+            if bits.read(width) == value:
+                out.append(out[-1])
+                continue
+            bits.at = start
+        out.append(_read_code(bits, size))
+        width, bits.at = bits.at - start, start
+        before = size, width, bits.read(width)
+    return out
+
+
 def _number(symbol: int, bits: Bits) -> int:
     """A length or distance from its prefix symbol and extra bits."""
     if symbol < 4:
@@ -174,7 +193,7 @@ class _Pixels:
             self.group_of = _read_pixels(bits, _blocks(width, self.group_bits), _blocks(height, self.group_bits)) >> 8 & 0xFFFF
             n_groups = int(self.group_of.max()) + 1
         sizes = (280 + (1 << self.cache_bits if self.cache_bits else 0), 256, 256, 256, 40)
-        self.groups = [[_read_code(bits, n) for n in sizes] for _ in range(n_groups)]
+        self.groups = [_read_codes(bits, sizes) for _ in range(n_groups)]
 
     def read(self, bits: Bits) -> np.ndarray:
         """The pixels as ARGB numbers, one after the other."""
@@ -232,15 +251,15 @@ def _in_lockstep(jobs: list[tuple[_Pixels, Bits]]) -> list[np.ndarray]:
     # Tables of all codes; equal ones of an image are one.
     tables, done, offset, mask = [], 0, np.zeros((5, n), np.int64), np.zeros((5, n), np.uint64)
     for i, h in enumerate(heads):
-        own: dict[tuple, tuple[int, int]] = {}
+        own: dict[int, tuple[int, int]] = {}
         for j, code in enumerate(h.groups[0]):
-            key = tuple(code.lengths[:256]) if j in (1, 2, 3) else j
-            if key not in own:
+            if id(code) not in own:
                 tables.append(code.table())
-                own[key] = done, len(tables[-1]) - 1
+                own[id(code)] = done, len(tables[-1]) - 1
                 done += len(tables[-1])
-            offset[j, i], mask[j, i] = own[key]
-    table = np.concatenate(tables)
+            offset[j, i], mask[j, i] = own[id(code)]
+    table = np.concatenate(tables).astype(np.int32)
+    cached = any(h.cache_bits for h in heads)
     cache_size = np.array([1 << h.cache_bits if h.cache_bits else 1 for h in heads], np.int64)
     cache_at = np.cumsum(cache_size) - cache_size
     cache = np.zeros(int(cache_size.sum()), np.uint32)
@@ -252,7 +271,7 @@ def _in_lockstep(jobs: list[tuple[_Pixels, Bits]]) -> list[np.ndarray]:
     live = n - np.searchsorted(total[::-1], np.arange(int(total[0])), "right")
 
     def peek(p):
-        return ahead[p >> 3] >> (p & 7).astype(np.uint64)
+        return ahead.take(p >> 3) >> (p & 7).view(np.uint64)
 
     def number(symbol, p):
         """_number of several symbols, whose extra bits stand at p."""
@@ -265,13 +284,13 @@ def _in_lockstep(jobs: list[tuple[_Pixels, Bits]]) -> list[np.ndarray]:
     for t, k in enumerate(live.tolist()):
         p = pos[:k]
         w = peek(p)
-        e = table[offset[0, :k] + (w & mask[0, :k]).view(np.int64)]
+        e = table.take(offset[0, :k] + (w & mask[0, :k]).view(np.int64)).astype(np.int64)
         green = e & low
         used = e >> 16
         value = green << 8
         w = w >> used.view(np.uint64)
         for j, place in ((1, 16), (2, 0), (3, 24)):
-            e = table[offset[j, :k] + (w & mask[j, :k]).view(np.int64)]
+            e = table.take(offset[j, :k] + (w & mask[j, :k]).view(np.int64)).astype(np.int64)
             value |= (e & low) << place
             n_bits = e >> 16
             used += n_bits
@@ -282,7 +301,7 @@ def _in_lockstep(jobs: list[tuple[_Pixels, Bits]]) -> list[np.ndarray]:
             used[other[going]] = 0
             new = other[~going]
             if len(new):
-                e = table[offset[0, new] + (peek(pos[new]) & mask[0, new]).view(np.int64)]
+                e = table[offset[0, new] + (peek(pos[new]) & mask[0, new]).view(np.int64)].astype(np.int64)
                 symbol, q = e & low, pos[new] + (e >> 16)
                 hit = symbol >= 280
                 here = new[hit]
@@ -290,7 +309,7 @@ def _in_lockstep(jobs: list[tuple[_Pixels, Bits]]) -> list[np.ndarray]:
                 ref, q_ref = new[~hit], q[~hit]
                 if len(ref):
                     length, q_ref = number(symbol[~hit] - 256, q_ref)
-                    e = table[offset[4, ref] + (peek(q_ref) & mask[4, ref]).view(np.int64)]
+                    e = table[offset[4, ref] + (peek(q_ref) & mask[4, ref]).view(np.int64)].astype(np.int64)
                     code, q_ref = number(e & low, q_ref + (e >> 16))
                     near = code <= 120
                     xy = _NEAR_XY[np.where(near, code - 1, 0)]
@@ -305,7 +324,8 @@ def _in_lockstep(jobs: list[tuple[_Pixels, Bits]]) -> list[np.ndarray]:
             rest[copy] -= 1
         pos[:k] += used
         out[start[:k] + t] = value
-        cache[cache_at[:k] + ((value * CACHE_FACTOR & 0xFFFFFFFF).view(np.uint64) >> shift[:k]).view(np.int64)] = value
+        if cached:
+            cache[cache_at[:k] + ((value * CACHE_FACTOR & 0xFFFFFFFF).view(np.uint64) >> shift[:k]).view(np.int64)] = value
     if (pos > (first + size) * 8).any():
         raise ValueError("the image data end early")
     result: list = [None] * n
@@ -343,8 +363,8 @@ def _channels(pixels: np.ndarray) -> np.ndarray:
 
 
 def _joined(channels: np.ndarray) -> np.ndarray:
-    c = channels.astype(np.uint32)
-    return c[..., 0] << 24 | c[..., 1] << 16 | c[..., 2] << 8 | c[..., 3]
+    """ARGB numbers of channels from 0 to 255."""
+    return np.ascontiguousarray(channels.astype(np.uint8)[..., ::-1]).view("<u4")[..., 0]
 
 
 def _undo_predictor(pixels: np.ndarray, width: int, modes: np.ndarray, bits: int) -> np.ndarray:
@@ -458,11 +478,13 @@ def decode(data: bytes) -> np.ndarray:
 # ---------------------------------------------------------------- writing
 
 #: Code lengths that are written at most (the format allows 15), and of the code of lengths.
-LONGEST, LONGEST_OF_LENGTHS = 11, 7
+LONGEST, LONGEST_OF_LENGTHS = 9, 7
 CACHE_BITS = 7
 MATCH = 4
+#: The cache is used where it holds at least this share of the literal pixels.
+HIT_SHARE = 0.25
 #: Rows that are looked at to choose a transform.
-LOOKED_AT = 16
+LOOKED_AT = 8
 
 
 class BitWriter:
@@ -554,17 +576,28 @@ def _put_code(w: BitWriter, lengths: np.ndarray) -> None:
     for s in LENGTH_ORDER[: max(last + 1, 4)]:
         w.put(sizes[s], 3)
     w.put(0, 1)
+    value = at = 0
     for s, extra, n in tokens:
         if not alone:
-            w.put(codes[s], sizes[s])
-        w.put(extra, n)
+            value |= codes[s] << at
+            at += sizes[s]
+        value |= extra << at
+        at += n
+    w.put(value, at)
+
+
+def _entropy(pixels: np.ndarray) -> float:
+    """Bits that the values of the four channels of n x 4 values take with a perfect code for each."""
+    return float(_entropies(pixels[None])[0])
 
 
-def _entropy(channels: np.ndarray) -> float:
-    """Bits that the values of four channels take with a perfect code for each."""
-    n = np.bincount((channels + np.arange(0, 1024, 256)).reshape(-1), minlength=1024)
-    n = n[n > 0]
-    return float(len(channels) * 4 * np.log2(max(len(channels), 1)) - (n * np.log2(n)).sum())
+def _entropies(several: np.ndarray) -> np.ndarray:
+    """_entropy of each of k x n x 4 values."""
+    k, n, _ = several.shape
+    counts = np.bincount((several + np.arange(0, 1024 * k, 256, dtype=np.int32).reshape(k, 1, 4)).reshape(-1), minlength=1024 * k)
+    spots = np.flatnonzero(counts)
+    many = counts[spots]
+    return 4 * n * np.log2(max(n, 1)) - np.bincount(spots >> 10, many * np.log2(many), k)
 
 
 def _residuals(c: np.ndarray, mode: int) -> np.ndarray:
@@ -603,17 +636,18 @@ def _without_green(c: np.ndarray) -> np.ndarray:
 
 def _chosen(c: np.ndarray) -> tuple[int, str]:
     """A predictor's mode (0 for none) and 'green', 'cross' or '', whichever leave a sample of rows smallest."""
-    step = -(-len(c) // LOOKED_AT)
-    some = c[::step]
-    best = (_entropy(some.reshape(-1, 4)), 0, "")
-    # A transform has to pay for itself: its bits, and those of a code for it.
-    for mode in (1, 2) if len(some) > 1 else (1,):
-        left = _residuals(c, mode)[::step] if mode == 2 else _residuals(some, mode)
-        best = min(best, (_entropy(left.reshape(-1, 4)) + 64, mode, ""))
-    base = _residuals(c, best[1])[::step] if best[1] else some
-    best = min(best, (_entropy(_without_green(base).reshape(-1, 4)) + 8, best[1], "green"))
-    crossed = _entropy(_crossed(base)[0].reshape(-1, 4)) + 64
-    return min(best, (crossed, best[1], "cross"))[1:]
+    rows = np.arange(0, len(c), -(-len(c) // LOOKED_AT))
+    some = c[rows]
+    left = _residuals(some, 1)
+    over = np.where((rows > 0)[:, None, None], some - c[rows - 1] & 0xFF, left)
+    tried = [(0, ""), (1, ""), (2, ""), (0, "green"), (0, "cross")]
+    bits = _entropies(np.stack([some, left, over, _without_green(some), _crossed(some)[0]]).reshape(5, -1, 4))
+    best = int(np.argmin(bits + [0, 64, 64, 8, 64]))  # a transform has to pay for its own bits
+    if best not in (1, 2):
+        return tried[best]
+    base = _residuals(c, best)[rows]
+    bits = _entropies(np.stack([base, _without_green(base), _crossed(base)[0]]).reshape(3, -1, 4))
+    return best, ("", "green", "cross")[int(np.argmin(bits + [0, 8, 64]))]
 
 
 def _references(p: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -662,28 +696,22 @@ def _put_pixels(w: BitWriter, p: np.ndarray, width: int, main: bool) -> bytes:
     for at, length, _ in refs:
         place[at + 1 : at + length] = False
     items = np.flatnonzero(place)
-    v = p[items].astype(np.int64)
-    symbol = v >> 8 & 0xFF
-    fields = np.stack([symbol, v >> 16 & 0xFF, v & 0xFF, v >> 24], 1)
+    fields = np.ascontiguousarray(p[items]).view(np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]]  # green, red, blue, alpha
+    symbol = fields[:, 0].astype(np.int32)
     literal = np.ones(len(items), bool)
     spots = np.searchsorted(items, np.array([r[0] for r in refs], np.int64))
     literal[spots] = False
     cache_bits = 0
     if main and len(p) > 64:
-        slot = (p.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)
-        order = np.argsort(slot.astype(np.uint8), kind="stable")
+        slot = (p * np.uint32(CACHE_FACTOR) >> np.uint32(32 - CACHE_BITS)).astype(np.uint8)
+        order = np.argsort(slot, kind="stable")
+        in_order = p[order]  # equal pixels have equal slots
         hit = np.zeros(len(p), bool)
-        hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (p[order[1:]] == p[order[:-1]])
+        hit[order[1:][in_order[1:] == in_order[:-1]]] = True
         hit = hit[items] & literal
-        plain = fields[literal]
-        held = fields[literal & ~hit]
-        most = np.bincount(slot[items[hit]].astype(np.int64))
-        most = most[most > 0]
-        saved = _entropy(plain) - _entropy(held)
-        chosen = len(plain) * np.log2(max(len(plain), 1)) - (most * np.log2(most)).sum() - len(held) * np.log2(max(len(held), 1))
-        if saved > chosen + 6 * len(most):
+        if np.count_nonzero(hit) >= HIT_SHARE * np.count_nonzero(literal):
             cache_bits = CACHE_BITS
-            symbol = np.where(hit, 280 + slot[items].astype(np.int64), symbol)
+            symbol = np.where(hit, 280 + slot[items].astype(np.int32), symbol)
             literal &= ~hit
     far = np.zeros((len(refs), 4), np.int64)  # the length's extra bits and their number, the distance's
     if refs:
@@ -707,16 +735,16 @@ def _put_pixels(w: BitWriter, p: np.ndarray, width: int, main: bool) -> bytes:
     for _ in range(3):
         w.put(one.value, one.n)
     _put_code(w, fars)
-    size_of = lambda lengths: lengths if np.count_nonzero(lengths) > 1 else np.zeros_like(lengths)
-    value, size = np.zeros((len(items), 4), np.int64), np.zeros((len(items), 4), np.int64)
-    value[:, 0], size[:, 0] = codes_of(greens)[symbol], size_of(greens)[symbol]
-    rgb = fields[literal, 1:]
-    value[literal, 1:], size[literal, 1:] = codes_of(others)[rgb], size_of(others)[rgb]
+    pairs = lambda lengths: codes_of(lengths) | lengths << 16 if np.count_nonzero(lengths) > 1 else np.zeros(len(lengths), np.int64)
+    both = np.zeros((len(items), 4), np.int64)  # each item's codes and extra bits, and their sizes
+    both[:, 0] = pairs(greens)[symbol]
+    both[literal, 1:] = pairs(others)[fields[literal, 1:]]
     if refs:
-        value[spots, 1], size[spots, 1] = far[:, 0], far[:, 1]
-        value[spots, 2], size[spots, 2] = codes_of(fars)[far_symbol], size_of(fars)[far_symbol]
-        value[spots, 3], size[spots, 3] = far[:, 2], far[:, 3]
-    value, size = value.reshape(-1), size.reshape(-1)
+        both[spots, 1] = far[:, 0] | far[:, 1] << 16
+        both[spots, 2] = pairs(fars)[far_symbol]
+        both[spots, 3] = far[:, 2] | far[:, 3] << 16
+    both = both.reshape(-1)
+    size, value = both >> 16, both & 0xFFFF
     if not main:
         for x, n in zip(value.tolist(), size.tolist()):
             w.put(x, n)
@@ -724,9 +752,10 @@ def _put_pixels(w: BitWriter, p: np.ndarray, width: int, main: bool) -> bytes:
     ends = np.cumsum(size)
     at = ends - size + w.n % 32
     whole = w.n // 32
-    cell, value = at >> 5, value.astype(np.uint64) << (at & 31).astype(np.uint64)
+    cell, value = at >> 5, value << (at & 31)
     n_cells = int(ends[-1] + w.n % 32 >> 5) + 2
-    words = np.bincount(cell, (value & np.uint64(0xFFFFFFFF)).astype(float), n_cells) + np.bincount(cell + 1, (value >> np.uint64(32)).astype(float), n_cells)
+    words = np.bincount(cell, value & 0xFFFFFFFF, n_cells)
+    words[1:] += np.bincount(cell, value >> 32, n_cells)[:-1]
     words[0] += w.value >> 32 * whole
     bits = int(ends[-1]) + w.n % 32
     return (w.value & (1 << 32 * whole) - 1).to_bytes(4 * whole, "little") + words.astype("<u4").tobytes()[: (bits + 7) // 8]
@@ -783,7 +812,7 @@ def encode(pixels: np.ndarray) -> bytes:
         raise ValueError(f"a side must have 1 to {MAX_SIDE} pixels")
     w = BitWriter()
     w.put(width - 1 | height - 1 << 14 | 1 << 28, 32)  # with alpha, version 0
-    left, wide = _put_transforms(w, pixels[:, :, [3, 0, 1, 2]].astype(np.int64))
+    left, wide = _put_transforms(w, pixels[:, :, [3, 0, 1, 2]].astype(np.int32))
     body = b"\x2f" + _put_pixels(w, left, wide, True)
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
