@@ -1,7 +1,7 @@
 """Inference of types from frames of JSON lines.
 
 The fold is ordered and not associative, so partial aggregates would give other types.
-Two exact ways to distribute it:
+Three exact ways to distribute it:
 
 - fold_files: files are the parallel unit. Lines are dealt out by file and sorted, each
   task folds its files record by record, and the driver folds one type per file.
@@ -12,6 +12,9 @@ Two exact ways to distribute it:
   from the structures' first places, which one aggregation over (place, key) gives, and
   asked for again only if a structure that was passed begins to matter. So the number of
   jobs follows the type's changes, not the records.
+- fold_table: the same walk for rows of plain columns. A row's structure follows from a few
+  numbers for each column (whether it is null, which formats its text has), so the JVM groups
+  rows by them, combined in each task, and Python sees one row for each group only.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ from collections import Counter
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.api import finish
+from typeloom.functions.formats import BLOB_OVER
 from typeloom.operators.shared import kept
 from typeloom.plans.emit import Document
 from typeloom.plans.fold import Folder
@@ -215,6 +219,99 @@ def fold_stream(lines: DataFrame, context: Context) -> Node:
         return _in_order(table, distinct, folder)
 
 
+# ---------------------------------------------------------------- rows of plain columns
+
+_PLAIN = ("boolean", "tinyint", "smallint", "int", "bigint")
+_TIMES = ("date", "timestamp", "timestamp_ntz")
+
+
+def _text_code(c: Column, context: Context) -> Column:
+    """A number that holds what folding sees of a text: the formats that it has, and whether it is long."""
+    bits = [f.column(c) for f in context.formats] + [f.evidence_column(c) for f in context.formats if f.evidence]
+    long = F.octet_length(F.encode(c, "UTF-16BE")) / 2 > BLOB_OVER
+    return sum((F.when(b, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, b in enumerate([*bits, long])), F.lit(1).cast("long") * (1 << len(bits) + 1))
+
+
+def column_codes(df: DataFrame, context: Context) -> list[Column] | None:
+    """For each column of df a value that decides its part of a row's structure; None if a column's type is nested or a format has no column form."""
+    if any(f.column is None or f.evidence and f.evidence_column is None for f in context.formats):
+        return None
+    out = []
+    for k, field in enumerate(df.schema.fields):
+        c, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
+        if kind in _TIMES:  # the text that JSON has for it
+            shown = F.to_json(F.struct(c.alias("v")))
+            text = F.when(c.isNotNull(), F.substring(shown, 7, F.length(shown) - 8))
+        elif kind in ("float", "double"):  # without a number, JSON has their names
+            text = F.when(F.isnan(c) | (F.abs(c) == float("inf")), c.cast("string"))
+        elif kind == "string":
+            text = c
+        elif kind in _PLAIN or kind.startswith("decimal"):
+            text = None
+        else:
+            return None
+        if context.is_tag(field.name):
+            code = F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+        elif text is None:
+            code = c.isNotNull().cast("long")
+        else:
+            code = F.when(text.isNotNull(), _text_code(text, context)).otherwise(c.isNotNull().cast("long"))
+        out.append(code.alias(f"c{k}"))
+    return out
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of few partitions dealt out to all cores; large inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def fold_table(df: DataFrame, context: Context) -> Node | None:
+    """The type of all rows in order, by their columns' codes; None where that can't be told or has too many groups."""
+    codes = column_codes(df, context)
+    if codes is None:
+        return None
+    names = [f"c{k}" for k in range(len(codes))]
+    place = next(n for n in (f"place{k}" for k in range(len(codes) + 1)) if n not in map(str.lower, df.columns))
+    rows = df.withColumn(place, F.monotonically_increasing_id())
+    coded = _spread(rows).select(F.col(place).alias("id"), *codes)
+
+    def groups(after=None) -> DataFrame:
+        some = coded if after is None else coded.where(F.col("id") > after)
+        return some.groupBy(*names).agg(F.min("id").alias("id"))
+
+    first = groups().limit(MOST_STRUCTURES + 1).toArrow()
+    if first.num_rows > MOST_STRUCTURES:
+        return None
+    spark, folder = df.sparkSession, Folder(context)
+    ids = first.column("id").to_pylist()
+    wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], f"{place} long"))
+    line = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("line")
+    shown = {r.id: r for r in rows.join(wanted, place, "left_semi").select(F.col(place).alias("id"), line, *codes).collect()}
+    key_of, nodes = {}, {}
+    for row in first.to_pylist():
+        code = tuple(row[n] for n in names)
+        found = shown.get(row["id"])
+        if found is None or tuple(found[n] for n in names) != code:  # the rows don't come in the same order each time
+            return None
+        node = folder.of(parse(found.line))
+        key = structure(node)
+        key_of[code] = key
+        nodes.setdefault(key, node)
+
+    def firsts(after):
+        out: dict[str, int] = {}
+        for row in (first if after is None else groups(after).toArrow()).to_pylist():
+            key = key_of[tuple(row[n] for n in names)]
+            out[key] = min(out.get(key, row["id"]), row["id"])
+        return out
+
+    try:
+        return _Walk(folder, nodes, firsts).run()
+    except _Restless:
+        return None
+
+
 def _in_order(table: DataFrame, distinct: DataFrame, folder: Folder) -> Node:
     """The plain fold over sorted structures, a partition at a time."""
     state: Node = NEVER
@@ -234,7 +331,8 @@ def declarations(spark: SparkSession, doc: Document) -> DataFrame:
 def infer_frame(df: DataFrame, options: Options | None = None) -> Document:
     """Declarations of a DataFrame's rows as JSON objects; no adapters."""
     settings = settle(options)
-    return finish(fold_stream(lines_of_frame(df), settings.context), settings)[0]
+    root = fold_table(df, settings.context)
+    return finish(fold_stream(_spread(lines_of_frame(df)), settings.context) if root is None else root, settings)[0]
 
 
 def infer_lines(lines: DataFrame, options: Options | None = None) -> tuple[Document, Simplifier, Counter]:
