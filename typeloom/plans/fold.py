@@ -1,14 +1,17 @@
 """Folding of records into one type, in order.
 
 The fold isn't associative: an option of a choice takes a record only if its properties
-are admitted at that moment. admits() is the one rule for that.
+are admitted at that moment, by the policy of streams.
 """
 
 from __future__ import annotations
 
-from typeloom.functions.formats import common_format, is_path_key, utf16_length
-from typeloom.plans.nodes import MOST_LITERALS, NEVER, TAG_KEYS, Anything, Choice, Context, Listing, Mapping, Never, Node, Property, Scalar, Shape, TextFacts, structure
+from functools import reduce
 
+from typeloom.functions.formats import utf16_length
+from typeloom.plans.joining import Meeting, is_path_shape, mapping_and_shape, meeting
+from typeloom.plans.nodes import NEVER, TAG_KEYS, Anything, Choice, Context, Listing, Mapping, Never, Node, Property, Scalar, Shape, TextFacts, structure
+from typeloom.plans.policy import STREAM, Conditions
 
 #: An object without properties, in a structure.
 EMPTY_OBJECT = '["o", []]'
@@ -39,6 +42,8 @@ def entries(obj: dict) -> list[tuple[str, object]]:
 class Folder:
     def __init__(self, context: Context | None = None, bounded: bool = True):
         self.context, self.bounded = context or Context(), bounded
+        self.conditions = Conditions(self.context)
+        self.admits, self.tagless = STREAM.compiled(self.conditions), self.conditions.untagged
 
     # ------------------------------------------------------------ one record
 
@@ -62,65 +67,38 @@ class Folder:
             return Shape(1, {k: Property(self.of(v, k in TAG_KEYS), 1) for k, v in entries(value)})
         return Anything()
 
-    # ------------------------------------------------------------ admission
-
-    def tagless(self, shape: Shape) -> bool:
-        return not any(map(self.context.is_tag, shape.properties))
-
-    def key_format(self, shape: Shape) -> str:
-        return common_format(shape.properties, self.context.formats)
-
-    def admits(self, a: Node, b: Node) -> bool:
-        """Whether two types may be one object type."""
-        if not (isinstance(a, Shape) and isinstance(b, Shape)):
-            return False
-        if a.tag_key() is not None and b.tag_key() is not None and same_tags(a, b):
-            return True
-        if not (self.tagless(a) and self.tagless(b)):
-            return False
-        if subset_keys(a, b):
-            return True
-        return bool(a.properties and b.properties) and "string" != self.key_format(a) == self.key_format(b)
-
     # ------------------------------------------------------------ joining
 
     def join(self, a: Node, b: Node) -> Node:
-        """The type of what was a before, with b added."""
-        if isinstance(a, Never):
-            return b
-        if isinstance(b, Never):
-            return a
-        if isinstance(a, Anything) or isinstance(b, Anything):
-            return Anything()
-        if isinstance(a, Choice):
-            return self.choose(a, b)
-        if isinstance(b, Choice):
-            return self.choose(b, a)
-        if isinstance(a, Scalar) and isinstance(b, Scalar):
-            return join_scalars(a, b)
-        if isinstance(a, Listing) and isinstance(b, Listing):
-            return Listing(self.join(a.item, b.item))
-        if isinstance(a, Mapping) and isinstance(b, Mapping):
-            return Mapping(a.key if a.key == b.key else "string", self.join(a.value, b.value))
-        if {type(a), type(b)} == {Mapping, Shape}:
-            return self.absorb(a, b) if isinstance(a, Mapping) else self.absorb(b, a)
-        if self.admits(a, b):
-            return join_shapes(a, b, self.join)
+        """The type of what was a before, with b added; two that don't fit stand beside each other."""
+        if (isinstance(a, Choice) or isinstance(b, Choice)) and not isinstance(a, Never | Anything) and not isinstance(b, Never | Anything):
+            return self._chosen(a, b) if isinstance(a, Choice) else self._chosen(b, a)
+        met = meeting(a, b, self.admits)
+        if isinstance(met, Meeting):
+            return met.build([self.join(x, y) for x, y in met.parts])
+        if met is not None:
+            return met
+        if pair := mapping_and_shape(a, b):
+            return self.absorb(*pair)
         return Choice([a, b])
 
-    def choose(self, choice: Choice, extra: Node) -> Node:
-        """Put extra into the first option that admits it, or behind all."""
-        if isinstance(extra, Choice):
-            out: Node = choice
-            for option in extra.options:
-                out = self.join(out, option)
-            return out
-        spot = next((i for i, o in enumerate(choice.options) if self.admits(o, extra)), None)
-        if spot is None:
-            return choice if self._twice(choice, extra) else Choice([*choice.options, extra])
-        new = self.join(choice.options[spot], extra)
-        options = [*choice.options[:spot], *(new.options if isinstance(new, Choice) else [new]), *choice.options[spot + 1 :]]
-        return options[0] if len(options) == 1 else Choice(options)
+    def _chosen(self, choice: Choice, extra: Node) -> Node:
+        """A choice with extra (or each of its options) in the first option that admits it, or behind all."""
+        now: Node = choice
+        for new in extra.options if isinstance(extra, Choice) else (extra,):
+            now = self._placed(now, new) if isinstance(now, Choice) else self.join(now, new)
+        return now
+
+    def _placed(self, choice: Choice, new: Node) -> Node:
+        if isinstance(new, Never | Anything):
+            return self.join(choice, new)
+        for spot, option in enumerate(choice.options):
+            if self.admits(option, new):
+                both = self.join(option, new)
+                options = list(choice.options)
+                options[spot : spot + 1] = both.options if isinstance(both, Choice) else [both]
+                return Choice(options) if len(options) > 1 else options[0]
+        return choice if self._twice(choice, new) else Choice([*choice.options, new])
 
     def _twice(self, choice: Choice, extra: Node) -> bool:
         """Whether options of extra's structure stand there twice: a third prints the same and takes no record.
@@ -135,63 +113,13 @@ class Folder:
 
     def absorb(self, mapping: Mapping, shape: Shape) -> Node:
         """A map takes an object whose keys all look like paths."""
-        if not all(map(is_path_key, shape.properties)):
+        if not is_path_shape(shape):
             return Choice([mapping, shape])
-        value = mapping.value
-        for p in shape.properties.values():
-            value = self.join(value, p.node)
-        own = self.key_format(shape) if shape.properties else mapping.key
+        value = reduce(self.join, (p.node for p in shape.properties.values()), mapping.value)
+        own = self.conditions.key_format(shape) if shape.properties else mapping.key
         return Mapping(own if own == mapping.key else "string", value)
 
     def fold(self, values, start: Node = NEVER) -> Node:
         for value in values:
             start = self.join(start, self.of(value))
         return start
-
-
-def subset_keys(a: Shape, b: Shape) -> bool:
-    small, large = (a, b) if len(a.properties) <= len(b.properties) else (b, a)
-    return small.properties.keys() <= large.properties.keys()
-
-
-def same_tags(a: Shape, b: Shape) -> bool:
-    """Whether the literals of every tag key overlap, where either side has some."""
-    for key in TAG_KEYS:
-        x, y = (s.literals() if (s := side.scalar_tag(key)) is not None else None for side in (a, b))
-        if x is None and y is None:
-            continue
-        if x is None or y is None or x.keys().isdisjoint(y):
-            return False
-    return True
-
-
-def compatible(a: Node, b: Node) -> bool:
-    return type(a) is type(b) and (not isinstance(a, Shape) or same_tags(a, b))
-
-
-def _literals(a: dict | None, b: dict | None) -> dict | None:
-    if a is None and b is None:
-        return None
-    both = {**(a or {}), **(b or {})}
-    return both if len(both) <= MOST_LITERALS else None
-
-
-def join_scalars(a: Scalar, b: Scalar) -> Scalar:
-    text = a.text.both(b.text) if a.text and b.text else a.text or b.text
-    return Scalar({**a.kinds, **b.kinds}, _literals(a.words, b.words), _literals(a.numbers, b.numbers), text)
-
-
-def join_shapes(a: Shape, b: Shape, join) -> Shape | None:
-    """Property by property; None as soon as join gives None."""
-    out = {}
-    for key in {**a.properties, **b.properties}:
-        x, y = a.properties.get(key), b.properties.get(key)
-        if x and y:
-            node = join(x.node, y.node)
-            if node is None:
-                return None
-            out[key] = Property(node, x.present + y.present)
-        else:
-            one = x or y
-            out[key] = Property(one.node, one.present)
-    return Shape(a.total + b.total, out)

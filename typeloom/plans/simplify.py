@@ -14,10 +14,12 @@ from dataclasses import dataclass, field
 from typeloom.functions.formats import common_format, utf16_key
 from typeloom.functions.naming import Place, not_a_digit, number_text, pascal, short_hash
 from typeloom.plans.emit import Option, Signatures, options_of, tag_text
-from typeloom.plans.fold import Folder, join_scalars
+from typeloom.plans.fold import Folder
+from typeloom.plans.joining import join_scalars
 from typeloom.plans.nodes import NEVER, TAG_KEYS, Choice, Listing, Mapping, Node, Scalar, Shape, nodes_with_field
 from typeloom.plans.settings import Settings
-from typeloom.plans.unite import AMONG_INLINE, BY_HINT, INTO_NAMED, WHOLE, Recipe, Uniter, linked_groups, overlap, replaced
+from typeloom.plans.policy import overlap
+from typeloom.plans.unite import AMONG_INLINE, BY_HINT, INTO_NAMED, SAME_KEYS, WHOLE, Uniter, linked_groups, replaced
 
 
 @dataclass
@@ -63,8 +65,6 @@ class Simplifier:
         self.folder = Folder(settings.context)
         self.signature = Signatures(settings.context)
         self.uniter = Uniter(self.folder, self.signature)
-        twins = lambda a, b: len(a.properties) > 3 and a.properties.keys() == b.properties.keys() and self.folder.tagless(a) and self.folder.tagless(b) and self.uniter.types_match(a, b)
-        self.same_keys = Recipe(False, AMONG_INLINE.pick, twins, careful=True)
 
     # ------------------------------------------------------------ the run
 
@@ -262,7 +262,7 @@ class Simplifier:
         plain = [(n, under) for n, under in nodes_with_field(self.root) if isinstance(n, Shape) and len(n.properties) > 1 and self.folder.tagless(n)]
         by_keys = grouped(("\0".join(sorted(n.properties, key=utf16_key)), Option(n, field=under)) for n, under in plain)
         for keys, group in by_keys.items():
-            main = self.uniter.unite(group, self.same_keys, out.becomes)
+            main = self.uniter.unite(group, SAME_KEYS, out.becomes)
             if main and main.shape not in inside:
                 out.declared[main.shape] = None
                 out.names[main.shape] = not_a_digit("_".join([*([pascal(main.field)] if main.field else []), "Type", short_hash(keys)]))

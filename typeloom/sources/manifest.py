@@ -9,7 +9,8 @@ from pathlib import Path
 
 from typeloom.plans.settings import Options, plugins_by_name, with_parameters
 
-NAMES = ("typeloom.json", "schema-extractor.json")
+#: Names of manifests that are looked for; find() takes others.
+NAMES = ("typeloom.json",)
 #: Keys of a target's options, and what they are called here.
 KEYS = {"rootName": "root_name", "userTagKey": "user_tag", "header": "header", "dedupHints": "dedup_hints", "recordHints": "record_hints", "multiTagHints": "tag_hints", "adapters": "adapters"}
 
@@ -28,10 +29,10 @@ class Target:
         return [place(p) for p in self.inputs], str(base / self.output)
 
 
-def find(start: str = ".") -> str | None:
-    """The nearest manifest upwards."""
+def find(start: str = ".", names: tuple[str, ...] = NAMES) -> str | None:
+    """The nearest manifest upwards, of one of the names."""
     here = Path(start).resolve()
-    return next((str(d / n) for d in (here, *here.parents) for n in NAMES if (d / n).exists()), None)
+    return next((str(d / n) for d in (here, *here.parents) for n in names if (d / n).exists()), None)
 
 
 def _options(raw: dict, where: str) -> Options:
