@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from typeloom.functions import formats, naming
 from typeloom.functions.formats import FORMATS, PATTERNS
-from typeloom.operators import facts
+from typeloom.operators import engine, facts
 from typeloom.operators.check import Checked, check_lines, patch_files
-from typeloom.operators.infer import declarations, infer_frame, parsed, simplify_text
+from typeloom.operators.infer import infer_frame, infer_lines, parsed, simplify_text
 from typeloom.plans.declarations import read, root_of
 from typeloom.plans.nodes import Scalar, encode
-from typeloom.plans.settings import MID_NAMES, Options
+from typeloom.plans.settings import Options
 from typeloom.sources.jsonl import lines_of_frame, with_validity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,11 +173,6 @@ def blob_minlen(spark, sf):
     return union(*(df.agg(shortest.cast("long").alias("shortest"), (shortest > formats.BLOB_OVER).alias("blob")).select(F.lit(label).alias("col"), "shortest", "blob") for label, df in _texts(spark, sf)))
 
 
-@query(f"SELECT {_sql_common('url')} AS key_format, count(DISTINCT url) AS keys, 'string' AS value_kind FROM pages")
-def key_alias_record(spark, sf):
-    return table(spark, sf, "pages").agg(formats.common_format_agg(F.col("url")).alias("key_format"), F.count_distinct("url").alias("keys")).withColumn("value_kind", F.lit("string"))
-
-
 @query("SELECT src, contains(c, '/') OR contains(c, chr(92)) OR starts_with(c, '~') AS path_like, count(*) AS n FROM (SELECT 'url' AS src, url AS c FROM pages UNION ALL SELECT 'name', c_name FROM customer UNION ALL SELECT 'type', p_type FROM part) GROUP BY 1, 2")
 def path_keys(spark, sf):
     parts = [table(spark, sf, t).select(F.lit(src).alias("src"), F.col(c).alias("c")) for src, t, c in (("url", "pages", "url"), ("name", "customer", "c_name"), ("type", "part", "p_type"))]
@@ -209,23 +204,6 @@ def tag_literal_cap(spark, sf):
     return union(*(table(spark, sf, t).agg(F.count_distinct(c).alias("n"), facts.literal_set(F.col(c)).alias("literals")).select(F.lit(c).alias("col"), "n", "literals") for t, c in _CAPPED))
 
 
-@query("SELECT event_type AS event, count(*) AS total, count(value) AS with_value, count(props) AS with_props, count(value) < count(*) AS optional FROM events GROUP BY 1")
-def tagged_union(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("event")).agg(F.count("*").alias("total"), F.count("value").alias("with_value"), F.count("props").alias("with_props"), (F.count("value") < F.count("*")).alias("optional"))
-
-
-@query("SELECT 'turns' AS field, 'role' AS tag_key, role AS tag_value, count(*) AS n, min(turn) AS first_turn FROM conversations GROUP BY role HAVING count(*) >= 2")
-def field_tag_bucket(spark, sf):
-    rows = table(spark, sf, "conversations").groupBy(F.col("role").alias("tag_value")).agg(F.count("*").alias("n"), F.min("turn").alias("first_turn")).where("n >= 2")
-    return rows.select(F.lit("turns").alias("field"), F.lit("role").alias("tag_key"), "tag_value", "n", "first_turn")
-
-
-@query("SELECT event_type AS tag_value, 'event_' || event_type || '_' || substr(sha256('event' || chr(0) || event_type), 1, 8) AS name FROM (SELECT DISTINCT event_type FROM events)")
-def tag_hint_names(spark, sf):
-    key = F.concat(F.lit("event\0"), F.col("event_type"))
-    return table(spark, sf, "events").select("event_type").distinct().select(F.col("event_type").alias("tag_value"), F.concat(F.lit("event_"), F.col("event_type"), F.lit("_"), naming.short_hash_column(key)).alias("name"))
-
-
 @query("WITH s AS (SELECT turn, list(DISTINCT role) AS roles FROM conversations GROUP BY turn) SELECT a.turn AS a, b.turn AS b, list_has_any(a.roles, b.roles) AS compatible FROM s a JOIN s b ON a.turn < b.turn")
 def tag_overlap(spark, sf):
     s = table(spark, sf, "conversations").groupBy("turn").agg(F.collect_set("role").alias("roles"))
@@ -246,31 +224,36 @@ _SETS = "(VALUES " + ", ".join(f"('{t}', {ks!r})" for t, ks in KEY_SETS.items())
 _PAIRS = f"s AS (SELECT * FROM {_SETS}), p AS (SELECT a.t AS a, b.t AS b, a.ks AS ka, b.ks AS kb FROM s a JOIN s b ON a.t < b.t)"
 
 
-def _pairs(spark):
-    s = spark.createDataFrame(list(KEY_SETS.items()), "t string, ks array<string>")
-    a, b = s.select(F.col("t").alias("a"), F.col("ks").alias("ka")), s.select(F.col("t").alias("b"), F.col("ks").alias("kb"))
-    return a.join(b, F.col("a") < F.col("b"))
+def _pairs(spark, **conditions: str) -> DataFrame:
+    """For each pair of tables whether their rows, as objects, meet each condition."""
+    from typeloom.plans.fold import Folder
+    from typeloom.plans.policy import Conditions
+
+    folder = Folder()
+    tests = [Conditions(folder.context).test(words) for words in conditions.values()]
+    shapes = {t: folder.of(dict.fromkeys(ks, 1)) for t, ks in KEY_SETS.items()}
+    found = [(a, b, *(bool(test(shapes[a], shapes[b])) for test in tests)) for a in shapes for b in shapes if a < b]
+    return spark.createDataFrame(found, "a string, b string, " + ", ".join(f"{c} boolean" for c in conditions))
 
 
-@query(f"WITH {_PAIRS} SELECT a, b FROM p WHERE CASE WHEN len(ka) <= len(kb) THEN list_has_all(kb, ka) ELSE list_has_all(ka, kb) END")
+@query(f"WITH {_PAIRS} SELECT a, b, CASE WHEN len(ka) <= len(kb) THEN list_has_all(kb, ka) ELSE list_has_all(ka, kb) END AS subset FROM p")
 def subset_keys(spark, sf):
-    return _pairs(spark).where(facts.subset(F.col("ka"), F.col("kb"))).select("a", "b")
+    return _pairs(spark, subset="subset-keys")
 
 
-@query(f"WITH {_PAIRS} SELECT a, b FROM p WHERE len(ka) = len(kb) AND list_has_all(kb, ka)")
+@query(f"WITH {_PAIRS} SELECT a, b, len(ka) = len(kb) AND list_has_all(kb, ka) AS same FROM p")
 def same_keys(spark, sf):
-    return _pairs(spark).where(F.array_sort("ka") == F.array_sort("kb")).select("a", "b")
+    return _pairs(spark, same="same-keys")
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, CAST(len(list_intersect(ka, kb)) AS BIGINT) AS shared, len(list_intersect(ka, kb)) >= 2 AS min2 FROM p")
+@query(f"WITH {_PAIRS} SELECT a, b, len(list_intersect(ka, kb)) >= 1 AS min1, len(list_intersect(ka, kb)) >= 2 AS min2, len(list_intersect(ka, kb)) >= 3 AS min3 FROM p")
 def overlap_min(spark, sf):
-    shared = facts.overlap(F.col("ka"), F.col("kb"))
-    return _pairs(spark).select("a", "b", shared.alias("shared"), (shared >= 2).alias("min2"))
+    return _pairs(spark, min1="overlap-min 1", min2="overlap-min 2", min3="overlap-min 3")
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, len(ka) < 5 AND len(kb) < 5 AS both_under_5, len(ka) > 3 AND len(kb) > 3 AS both_over_3 FROM p")
+@query(f"WITH {_PAIRS} SELECT a, b, len(ka) < 5 AND len(kb) < 5 AS both_under_5, len(ka) > 3 AND len(kb) > 3 AS both_over_3, NOT list_contains(ka, 'type') AND NOT list_contains(kb, 'type') AS untagged FROM p")
 def key_size_gates(spark, sf):
-    return _pairs(spark).select("a", "b", ((F.size("ka") < 5) & (F.size("kb") < 5)).alias("both_under_5"), ((F.size("ka") > 3) & (F.size("kb") > 3)).alias("both_over_3"))
+    return _pairs(spark, both_under_5="keys-lt 5", both_over_3="keys-gt 3", untagged="no-tag")
 
 
 @query(f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM p WHERE list_has_any(ka, kb) UNION SELECT b, a FROM p WHERE list_has_any(ka, kb) UNION SELECT t, t FROM s), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS t, min(b) AS component FROM r GROUP BY a")
@@ -282,34 +265,16 @@ def shared_key_components(spark, sf):
     return spark.createDataFrame([(names[i], min(names[j] for j in g)) for g in groups for i in g], "t string, component string")
 
 
-_STEPS = "SELECT 'r' || r_regionkey AS child, 'world' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier"
-
-
-@query(f"WITH RECURSIVE e AS ({_STEPS}), r AS (SELECT parent AS a, child AS b FROM e UNION SELECT r.a, e.child FROM r JOIN e ON e.parent = r.b) SELECT a, count(*) AS below FROM r GROUP BY a")
-def reachability(spark, sf):
-    for t in ("region", "nation", "supplier"):
-        table(spark, sf, t).createOrReplaceTempView(f"_typeloom_{t}")
-    steps = _STEPS.replace("FROM ", "FROM _typeloom_")
-    return spark.sql(f"WITH RECURSIVE e AS ({steps}), r(a, b) AS (SELECT parent, child FROM e UNION ALL SELECT r.a, e.child FROM r JOIN e ON e.parent = r.b) SELECT a, count(*) AS below FROM r GROUP BY a")
 
 
 # ---------------------------------------------------------------- rewrites, as relations
 
 
-@query("SELECT DISTINCT e.event_id % 7 AS slot, CASE WHEN e.event_type = h.event_type AND e.event_id % 7 >= 3 THEN h.event_type END AS joins FROM events e LEFT JOIN (SELECT min(event_type) AS event_type FROM events) h ON e.event_type = h.event_type")
-def inline_hoist_lookup(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "event_type")
-    named = events.agg(F.min("event_type").alias("h"))
-    joined = events.join(F.broadcast(named), events.event_type == F.col("h"), "left")
-    return joined.select((F.col("event_id") % 7).alias("slot"), F.when(F.col("event_id") % 7 >= 3, F.col("h")).alias("joins")).distinct()
-
-
-@query("WITH m AS (SELECT o_orderstatus AS s, min(o_orderkey) AS canon FROM orders GROUP BY 1) SELECT o.o_orderstatus AS s, coalesce(m.canon, o.o_orderkey) AS canon, count(*) AS n FROM orders o LEFT JOIN m ON o.o_orderstatus = m.s AND m.s <> 'F' GROUP BY 1, 2 HAVING o.o_orderstatus <> 'F' OR min(o.o_orderkey) % 97 = 0")
+@query("WITH m AS (SELECT o_orderstatus AS s, min(o_orderkey) AS canon FROM orders GROUP BY 1) SELECT o.o_orderstatus AS s, coalesce(m.canon, o.o_orderkey) AS canon, count(*) AS n FROM orders o LEFT JOIN m ON o.o_orderstatus = m.s AND m.s <> 'F' GROUP BY 1, 2")
 def canonical_rewrite(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("s"))
     canon = orders.groupBy("s").agg(F.min("o_orderkey").alias("c")).where("s != 'F'")
-    rows = orders.join(canon, "s", "left").groupBy("s", F.coalesce("c", "o_orderkey").alias("canon")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"))
-    return rows.where("s != 'F' OR low % 97 = 0").select("s", "canon", "n")
+    return orders.join(canon, "s", "left").groupBy("s", F.coalesce("c", "o_orderkey").alias("canon")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_brand, arg_max(p_partkey, (p_size, -p_partkey)) AS most, arg_min(p_partkey, (length(p_name), p_name, p_partkey)) AS shortest FROM part GROUP BY p_brand")
@@ -318,37 +283,6 @@ def canon_pick(spark, sf):
     return table(spark, sf, "part").groupBy("p_brand").agg(most.alias("most"), F.min_by("p_partkey", F.struct(F.length("p_name"), "p_name", "p_partkey")).alias("shortest"))
 
 
-@query("SELECT event_type, json_keys(props)[1] AS keys, min(event_id) AS canon, count(*) AS n FROM events GROUP BY 1, 2")
-def structural_dedupe(spark, sf):
-    keys = F.array_join(F.array_sort(F.json_object_keys("props")), ",").alias("keys")
-    return table(spark, sf, "events").groupBy("event_type", keys).agg(F.min("event_id").alias("canon"), F.count("*").alias("n"))
-
-
-@query("SELECT p_brand || '|' || p_type || '|' || p_size AS look, min(p_partkey) AS canon, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
-def inline_equivalent(spark, sf):
-    return table(spark, sf, "part").groupBy(F.concat_ws("|", "p_brand", "p_type", "p_size").alias("look")).agg(F.min("p_partkey").alias("canon"), F.count("*").alias("n")).where("n > 1")
-
-
-@query(f"SELECT array_to_string(ks, chr(0)) AS keys, min(t) AS canon, count(*) AS n, 'Rows_Type_' || substr(sha256(array_to_string(ks, chr(0))), 1, 8) AS name FROM (SELECT * FROM {_SETS}) GROUP BY 1 HAVING count(*) > 1")
-def inline_samekeys(spark, sf):
-    s = spark.createDataFrame(list(KEY_SETS.items()), "t string, ks array<string>")
-    keys = F.array_join(F.array_sort("ks"), "\0").alias("keys")
-    rows = s.groupBy(keys).agg(F.min("t").alias("canon"), F.count("*").alias("n")).where("n > 1")
-    return rows.withColumn("name", F.concat(F.lit("Rows_Type_"), naming.short_hash_column(F.col("keys"))))
-
-
-@query("SELECT l_suppkey, count(*) AS refs FROM lineitem GROUP BY 1 HAVING count(*) >= 2 AND l_suppkey % 2 = 0")
-def hoist_shared(spark, sf):
-    return table(spark, sf, "lineitem").where("l_suppkey % 2 = 0").groupBy("l_suppkey").agg(F.count("*").alias("refs")).where("refs >= 2")
-
-
-_MIDS = ", ".join(f"({k}, '{v}')" for k, v in MID_NAMES.items())
-
-
-@query(f"SELECT n_nationkey AS mid, m.name FROM nation LEFT JOIN (VALUES {_MIDS}) m(mid, name) ON n_nationkey = m.mid")
-def plugin_names(spark, sf):
-    names = spark.createDataFrame(list(MID_NAMES.items()), "mid int, name string")
-    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("mid")).join(F.broadcast(names), "mid", "left")
 
 
 # ---------------------------------------------------------------- patch logs
@@ -451,7 +385,7 @@ def check_best_variant(spark, sf):
 
 @query("SELECT r - 1 AS place, turn FROM (SELECT turn, row_number() OVER (ORDER BY conv_id, turn) AS r FROM conversations WHERE role = 'system') WHERE r <= 20")
 def check_failures_topk(spark, sf):
-    c = table(spark, sf, "conversations").where("role = 'system' OR role = 'user'")
+    c = table(spark, sf, "conversations")
     lines = c.select(F.lit(0).alias("file_ord"), F.col("conv_id").alias("block"), F.col("turn").alias("id"), F.to_json(F.struct("*")).alias("line"))
     found = check_lines(lines, root_of(_TURN)[1], adapters=()).failures()
     return found.select((F.row_number().over(Window.orderBy("block", "id")) - 1).cast("long").alias("place"), F.col("id").alias("turn"))
@@ -484,13 +418,6 @@ def safe_ident(spark, sf):
     return c.select("c", naming.identifier_column(F.col("c")).alias("safe"))
 
 
-@query("SELECT n_nationkey, 'R' || n_regionkey || CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 THEN '' ELSE '_' || row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) END AS name FROM nation")
-def unique_names(spark, sf):
-    r = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
-    base = F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))
-    return table(spark, sf, "nation").select("n_nationkey", F.when(r == 1, base).otherwise(F.concat(base, F.lit("_"), r.cast("string"))).alias("name"))
-
-
 @query(f"SELECT c AS tag, {_SQL_PASCAL} || '_' || substr(sha256('Events_' || c), 1, 8) AS name FROM (SELECT DISTINCT event_type AS c FROM events)")
 def variant_names(spark, sf):
     place = naming.Place("Events")
@@ -499,57 +426,140 @@ def variant_names(spark, sf):
     return c.select(F.col("c").alias("tag"), F.concat(naming.pascal_column(F.col("c")), F.lit("_"), mark).alias("name"))
 
 
-@query("SELECT p_type AS prefix, p_brand AS body, min(substr(sha256(p_name), 1, 8)) AS hash, count(*) AS n, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS docs FROM part GROUP BY 1, 2 HAVING count(*) > 1")
-def decl_dedupe(spark, sf):
-    docs = F.array_join(F.array_sort(F.collect_set(F.col("p_size").cast("string"))), ",")
-    rows = table(spark, sf, "part").groupBy(F.col("p_type").alias("prefix"), F.col("p_brand").alias("body"))
-    return rows.agg(F.min(naming.short_hash_column(F.col("p_name"))).alias("hash"), F.count("*").alias("n"), docs.alias("docs")).where("n > 1")
-
-
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations")
 def ordinal_order(spark, sf):
     r = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long")
     return table(spark, sf, "conversations").select("conv_id", "turn", r.alias("ordinal"))
 
 
-@query("SELECT 0 AS file_ord, CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region UNION ALL SELECT 1, n_nationkey, n_name FROM nation UNION ALL SELECT 0, r_regionkey, r_name FROM region")
-def file_union(spark, sf):
-    side = lambda i, t, p: table(spark, sf, t).select(F.lit(i).alias("file_ord"), F.col(f"{p}_{t}key").cast("long").alias("k"), F.col(f"{p}_name").alias("name"))
-    return union(side(0, "region", "r"), side(1, "nation", "n"), side(0, "region", "r"))
+# ---------------------------------------------------------------- documents
 
 
-# ---------------------------------------------------------------- documents
+@query("SELECT * FROM (VALUES (0, 'A', 'Shape'), (1, 'U', 'Shape'), (2, 'S', 'Shape'), (3, 'Turn', 'Choice')) t(ord, name, kind)")
+def parse_dts_decls(spark, sf):
+    return spark.createDataFrame([(i, n, type(node).__name__) for i, (n, node) in enumerate(read(_UNION).items())], "ord int, name string, kind string")
+
+
+# ---------------------------------------------------------------- the engine on records made of the tables
+
+#: Queries that have their operator's name, and the case of engine.CASES that each runs.
+_OF_CASE = {
+    "tagged_union": "fold_tagged",
+    "field_tag_bucket": "field_tag",
+    "tag_hint_names": "tag_hints",
+    "key_alias_record": "recordify_urls",
+    "inline_hoist_lookup": "inline_unify",
+    "structural_dedupe": "structural",
+    "inline_equivalent": "inline_equal",
+    "inline_samekeys": "inline_same_keys",
+    "hoist_shared": "hoist_parameters",
+    "plugin_names": "plugin_mids",
+    "unique_names": "untagged_variants",
+    "decl_dedupe": "names_twice",
+    "reachability": "auto_recursive",
+}
+_COMPUTED = {
+    "fold_optional": engine.plain_sql("Order", "orders", [("customer", "CASE WHEN o_orderstatus = 'F' THEN o_custkey END", "number"), ("id", "o_orderkey", "number"), ("price", "o_totalprice", "number")], _sql_common),
+    "fold_tagged": engine.tagged_sql("Event", "(SELECT event_type AS type, event_id, CASE WHEN event_type = 'click' THEN value END AS value FROM events)", "type", [("id", "event_id", "number"), ("value", "value", "number")], _sql_common, "type"),
+    "user_tag": engine.tagged_sql("Told", "(SELECT event_type AS kind, event_id FROM events)", "kind", [("id", "event_id", "number")], _sql_common, "kind"),
+}
+
+
+def _add_case(name: str, case: str) -> None:
+    QUERIES[name] = lambda spark, sf: engine.declared(spark, sf, case)
+    SQL[name] = _COMPUTED.get(case) or engine.expected_sql(case)
+
+
+for _name, _case in _OF_CASE.items():
+    _add_case(_name, _case)
+for _case in engine.CASES:
+    if _case not in _OF_CASE.values():
+        _add_case(_case, _case)
+
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.000Z')"
+_INNER = "{' || chr(10) || '    k: number;' || chr(10) || '  }"
 
 
-@query()
+@query(engine.tagged_sql("Event", f"(SELECT *, event_type AS event, {_ISO.format('ts')} AS shown FROM events)", "event", [("event_id", "event_id", "number"), ("user_id", "user_id", "number"), ("value", "value", "number"), ("ts", "shown", "text"), ("props", "props", _INNER)], _sql_common, "event_id"))
 def infer_dts(spark, sf):
     """Declarations of the events, re-keyed so that their type is a tag."""
-    e = table(spark, sf, "events").select(F.col("event_type").alias("event"), "event_id", "user_id", "value", "ts", F.from_json("props", "k bigint").alias("props"))
-    return declarations(spark, infer_frame(e, Options(root_name="Event")))
+    e = table(spark, sf, "events").orderBy("event_id").select(F.col("event_type").alias("event"), "event_id", "user_id", "value", "ts", F.from_json("props", "k bigint").alias("props"))
+    return engine.rows(spark, infer_frame(e, Options(root_name="Event")))
 
 
-@query()
+@query(engine.tagged_sql("Turn", "conversations", "role", [("conv_id", "conv_id", "number"), ("text", "text", "text"), ("turn", "turn", "number")], _sql_common, "conv_id * 1000000 + turn"))
 def infer_conversations(spark, sf):
-    return declarations(spark, infer_frame(table(spark, sf, "conversations"), Options(root_name="Turn")))
+    return engine.rows(spark, infer_frame(table(spark, sf, "conversations").orderBy("conv_id", "turn"), Options(root_name="Turn")))
 
 
-@query()
+_LINE_ITEM = [(c, c, "number") for c in "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()]
+_LINE_ITEM += [("l_returnflag", "l_returnflag", "text"), ("l_linestatus", "l_linestatus", "text"), ("l_shipdate", _ISO.format("l_shipdate"), "text")]
+
+
+@query(engine.plain_sql("LineItem", "lineitem", _LINE_ITEM, _sql_common))
 def infer_lineitem(spark, sf):
-    return declarations(spark, infer_frame(table(spark, sf, "lineitem"), Options(root_name="LineItem")))
+    return engine.rows(spark, infer_frame(table(spark, sf, "lineitem"), Options(root_name="LineItem")))
+
+
+@query(engine.plain_sql("Document", "documents", [("doc_id", "doc_id", "number"), ("n_chars", "n_chars", "number"), ("text", "text", "text"), ("lang", "lang", "text"), ("source", "source", "text")], _sql_common))
+def infer_documents(spark, sf):
+    return engine.rows(spark, infer_frame(table(spark, sf, "documents"), Options(root_name="Document")))
 
 
-@query()
+@query("SELECT * FROM (VALUES (0, 'Both', '{' || chr(10) || '  k: number;' || chr(10) || '  name: string;' || chr(10) || '  zone?: number;' || chr(10) || '}', '')) t(ord, name, body, docs)")
+def file_union(spark, sf):
+    """Files of regions, nations and regions again, folded one by one and joined."""
+
+    def side(i: int, t: str, p: str, *more) -> DataFrame:
+        line = F.to_json(F.struct(F.col(f"{p}_{t}key").alias("k"), F.col(f"{p}_name").alias("name"), *more)).alias("line")
+        return table(spark, sf, t).select(F.lit(i).alias("file_ord"), F.lit(0).cast("long").alias("block"), F.col(f"{p}_{t}key").cast("long").alias("id"), line)
+
+    lines = union(side(0, "region", "r"), side(1, "nation", "n", F.col("n_regionkey").alias("zone")), side(2, "region", "r"))
+    return engine.rows(spark, infer_lines(lines, Options(root_name="Both"))[0])
+
+
+@query("SELECT * FROM (VALUES (0, 'State', '{' || chr(10) || '  count: number;' || chr(10) || '  rows: number[];' || chr(10) || '  title: string;' || chr(10) || '}', '')) t(ord, name, body, docs)")
+def patch_types(spark, sf):
+    """Logs of one state for each customer: set, appended to, and set below; their types by path."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("file_ord"), F.lit(0).cast("long").alias("block"), "c_name", "c_nationkey")
+    steps = [
+        F.struct(F.lit(0).alias("kind"), F.struct(F.lit(0).alias("count"), F.array().cast("array<int>").alias("rows")).alias("v")),
+        F.struct(F.lit(1).alias("kind"), F.array(F.lit("title")).alias("k"), F.col("c_name").alias("v")),
+        F.struct(F.lit(2).alias("kind"), F.array(F.lit("rows")).alias("k"), F.col("c_nationkey").alias("v")),
+        F.struct(F.lit(1).alias("kind"), F.array(F.lit("count")).alias("k"), F.lit(1).alias("v")),
+    ]
+    lines = c.select("file_ord", "block", F.posexplode(F.array(*map(F.to_json, steps))).alias("id", "line")).withColumn("id", F.col("id").cast("long"))
+    return engine.rows(spark, infer_lines(lines, Options(root_name="State"))[0])
+
+
+_SIMPLIFIED = [
+    ("Assistant", '{\n  role: "assistant";\n  text: string;\n}', "assistant"),
+    ("User", '{\n  role: "user";\n  text: string;\n  turn: number;\n}', "user"),
+    ("System", '{\n  nothing: string;\n  role: "system";\n}', "system"),
+]
+
+
+def _simplified_sql() -> str:
+    mark = lambda name: f"'{name}_' || substr(sha256('Turn_{name.lower()}'), 1, 8)"
+    lines = []
+    for name, body, doc in _SIMPLIFIED:
+        lines += [f"'/** {doc} */'", f"'export type ' || {mark(name)} || ' = {{'", *(f"'{x}'" for x in body.split("\n")[1:-1]), "'};'", "''"]
+    lines.append("'export type Turn = ' || " + " || ' | ' || ".join(mark(n) for n, _, _ in _SIMPLIFIED) + " || ';'")
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {x})" for i, x in enumerate(lines)) + ") t(ord, line)"
+
+
+@query(_simplified_sql())
 def simplify_dts(spark, sf):
-    text = simplify_text(_UNION)
-    return spark.createDataFrame([(i, line) for i, line in enumerate(text.splitlines())], "ord int, line string")
+    text = simplify_text(_UNION, Options(header=""))
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "ord int, line string")
 
 
-@query("SELECT * FROM (VALUES (0, 'A', 'Shape'), (1, 'U', 'Shape'), (2, 'S', 'Shape'), (3, 'Turn', 'Choice')) t(ord, name, kind)")
-def parse_dts_decls(spark, sf):
-    return spark.createDataFrame([(i, n, type(node).__name__) for i, (n, node) in enumerate(read(_UNION).items())], "ord int, name string, kind string")
+#: Phases of the first round and of those that follow until nothing changes.
+_FIRST = "recordify hint-dedup auto-recursive field-tag tag-hints inline-unify inline-samekeys inline-equivalent structural-dedupe hoist-shared apply-plugins".split()
+_AGAIN = "inline-unify inline-samekeys inline-equivalent structural-dedupe".split()
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"({r}, '{x}', 0, 0, false)" for r, phases in enumerate((_FIRST, _AGAIN)) for x in phases) + ") t(round, phase, rewrites, declared, new_root)")
 def pipeline_trace(spark, sf):
     from typeloom.api import finish
     from typeloom.operators.infer import fold_stream
@@ -560,7 +570,7 @@ def pipeline_trace(spark, sf):
     return spark.createDataFrame([(t.round, t.phase, t.rewrites, t.declared, t.new_root) for t in done.trace], "round int, phase string, rewrites int, declared int, new_root boolean")
 
 
-@query()
+@query("SELECT kind, '[\"s\", [\"' || kind || '\"], null, null, null]' AS node FROM (VALUES ('string'), ('number'), ('boolean'), ('null')) t(kind)")
 def shape_codec(spark, sf):
     """Types of scalars as they travel between tasks and driver."""
     return spark.createDataFrame([(k, encode(Scalar({k: None}))) for k in ("string", "number", "boolean", "null")], "kind string, node string")
