@@ -140,13 +140,13 @@ def _applied(docs: DataFrame, min_words: int) -> DataFrame:
     gone = dropped_lines(docs.select("doc_id", "text"), min_words).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"), F.count_if(~F.col("exact")).alias("near"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"), F.xxhash64("text").alias("own_th"))
     both = rows.join(gone, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_th") == F.col("th")), "left")
-    parts = F.split("own_text", "\n", -1)
-    # What stands between one dropped line and the next, so that the cost follows the lines.
-    ends = F.concat(F.array(F.lit(-1)), F.sort_array("gone"), F.array(F.size(parts)))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), lambda i: F.slice(parts, F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1)))
+    cut_up = both.select("row", "own_text", "gone", "near", F.split("own_text", "\n", -1).alias("parts"))
+    # What stands between one dropped line and the next, so that the cost follows the lines. Columns of their own, so that none is made twice.
+    placed = cut_up.withColumn("ends", F.concat(F.array(F.lit(-1)), F.sort_array("gone"), F.array(F.size("parts"))))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), lambda i: F.slice(F.col("parts"), F.get(F.col("ends"), i) + 2, F.get(F.col("ends"), i + 1) - F.get(F.col("ends"), i) - 1)))
     text = F.when(F.col("gone").isNull(), F.col("own_text")).otherwise(F.array_join(kept, "\n"))
-    return both.select(
-        "row", text.alias("new_text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
+    return placed.select(
+        "row", text.alias("new_text"), F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("near", F.lit(0)).alias("n_near"),
     )
 
