@@ -291,6 +291,56 @@ def test_html():
     assert html_text.main_text("<p title='a>b'>x</p><!-- never closed <p>y") == "x"
 
 
+LONG = "A sentence of some length, with a comma. Another one follows; it is about as long as that. "
+
+
+def test_ratios_decide_without_names():
+    """No element or class tells anything: length and punctuation by path, and links, choose."""
+    page = f"""<body><div class=q><div class=k1><a href=/>Home</a> <a href=/>News</a></div><div class=k2><div><h2>A title</h2><p>{LONG * 3}</p><p>Short.</p><p>{LONG * 2}</p></div></div>
+    <div class=k3><span>13 views</span></div><div class=k4>Est 1999</div></div></body>"""
+    text = html_text.main_text(page)
+    assert text == "\n".join(["A title", (LONG * 3).strip(), "Short.", (LONG * 2).strip()])
+    parts = html_text.blocks(page)
+    assert all(html_text.chosen(parts, threshold=0)) and not all(html_text.chosen(parts))
+
+
+def test_names_are_a_weak_prior():
+    inner = f"<h1>T</h1><p>{LONG}</p><p>{LONG * 2}</p>"
+    want = f"T\n{LONG.strip()}\n{(LONG * 2).strip()}"
+    for start in ("<div class='content with-sidebar'>", "<div class='post related-articles'>", "<div class='sidebar'>", "<form>"):
+        assert html_text.main_text(f"<body><div class=menu><a>x</a></div>{start}{inner}</div></form><footer>(c) me</footer></body>") == want, start
+    # With an article beside it, even a long part of comments is none.
+    assert html_text.main_text(f"<article>{inner}</article><div class=comments><p>{LONG * 9}</p></div>") == want
+    assert html_text.main_text(f"<article>{inner}<section class=comments><p>{LONG * 9}</p></section></article>") == want
+
+
+def test_white_space_of_references():
+    assert html_text.main_text("<p>a&nbsp;&nbsp;b&#9;&#x2003;c &emsp; d</p>") == "a b c d"
+
+
+def test_extract(spark):
+    rows = [(1, "http://a.test/", "<article><p>One.</p></article>", 5), (1, "http://a.test/", "<article><p>One.</p></article>", 5), (None, None, None, 6), (2, "u", "", 7), (3, "u", f"<article><p>{LONG * 3000}", 8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    got = {x.page_id: x for x in html_text.extract(pages).collect()}
+    assert html_text.extract(pages).count() == 5 and html_text.extract(pages).columns == ["page_id", "url", "text", "n_chars"]
+    assert (got[1].text, got[1].n_chars, got[None].text, got[2].text) == ("One.", 4, "", "") and got[3].text == (LONG * 3000).strip()
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_extract_against_brute_force(spark):
+    """The driver's pages keep their text in one article: its blocks by plain replacement."""
+    import html
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {x.page_id: x.text for x in html_text.extract(pages).collect()}
+    for row in pages.collect():
+        inner = re.search("<article[^>]*>(.*?)</article>", row.html, re.S)[1]
+        inner = re.sub("<!--.*?-->|<script.*?</script>|<style.*?</style>", "", inner, flags=re.S)
+        pieces = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|blockquote|table|tr|td|section|pre|figure|figcaption)\b[^>]*>", inner)
+        blocks = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", re.sub("<br[^>]*>", " ", x)))).strip() for x in pieces]
+        assert got[row.page_id] == "\n".join(b for b in blocks if b), row.page_id
+
+
 # ---------------------------------------------------------------- 9
 
 

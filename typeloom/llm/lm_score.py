@@ -67,7 +67,11 @@ class Subwords:
     """Subword ids of texts; each distinct pre-token is encoded once in a task."""
 
     def __init__(self, lines: bytes, pattern: str, most: int = 300_000):
-        self.encode, self.known, self.most = bpe.encoder(lines), {}, most
+        import tiktoken
+
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks_of(lines), special_tokens={})
+        self.encode = lambda piece: library.encode_ordinary(piece.decode("utf-8", "replace"))
+        self.known, self.most = {}, most
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids start (and the end)."""
