@@ -375,7 +375,7 @@ def _learned(lines, pattern: str, model):
         for b in batches:
             texts = [x.as_py() or b"" for x in b.column(0)]
             for lo, hi in chunks(texts):
-                new.train(*subwords(texts[lo:hi]), steps=None, batch=128, seed=part)
+                new.train(*subwords(texts[lo:hi]), steps=None, batch=64, seed=part)
                 part += 1
         rows, n, moves = new.moved(old)
         for lo in range(0, len(rows), 8192):
