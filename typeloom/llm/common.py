@@ -24,7 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = sc._jsc.sc().getCheckpointDir()
     if not where.isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
         where = sc._jsc.sc().getCheckpointDir()
     return where.get()
 
@@ -53,11 +56,13 @@ def stash(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
-    def drop() -> None:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return spark.read.parquet(path), lambda: remove(spark, path)
 
-    return spark.read.parquet(path), drop
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ascii_lower(col):
