@@ -93,6 +93,17 @@ def test_live_type(spark, tmp_path):
     assert LiveType(Options(header=""), str(tmp_path / "type.json")).text() == live.text()
 
 
+def test_live_type_folds_in_order(spark):
+    """Batches give the type of the whole stream, though the fold isn't associative."""
+    from typeloom.streaming.live import LiveType
+
+    records = [{"a": 1}, {"b": 2}, {"a": 1, "b": 2}, {"c": 3}, {"a": 1, "c": 4}, {"b": 1, "d": 2}]
+    live = LiveType(Options(header=""))
+    for k in range(0, 6, 2):
+        live.add(spark.createDataFrame([tuple(r.get(c) for c in "abcd") for r in records[k : k + 2]], "a int, b int, c int, d int").coalesce(1), k)
+    assert live.text() == infer_values(records, Options(header=""))
+
+
 def test_latest_states(spark, tmp_path):
     from typeloom.streaming.live import latest_states
 

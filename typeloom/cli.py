@@ -39,8 +39,8 @@ def parser() -> argparse.ArgumentParser:
     gen.add_argument("--out")
     gen.add_argument("--tag")
     gen.add_argument("--dedup-hint", type=_pair, action="append")
-    gen.add_argument("--record-hint", type=_record, action="append")
-    gen.add_argument("--tag-hint", action="append")
+    gen.add_argument("--record-hint", "--hint", type=_record, action="append")
+    gen.add_argument("--tag-hint", "--multi-tag", action="append")
     gen.add_argument("--no-adapters", action="store_true")
     gen.add_argument("--no-plugins", action="store_true")
     gen.add_argument("--trace-pipeline", action="store_true")
@@ -56,7 +56,7 @@ def parser() -> argparse.ArgumentParser:
     for mode in (gen, check, simplify):
         mode.add_argument("--param", type=_parameter, action="append", default=[], metavar="KEY=VALUE", help=", ".join(PARAMETERS))
     for mode in (gen, check):
-        mode.add_argument("--manifest")
+        mode.add_argument("--manifest", "--config")
         mode.add_argument("--quiet", action="store_true")
     return top
 

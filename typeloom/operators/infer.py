@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.api import finish
-from typeloom.functions.formats import BLOB_OVER
+from typeloom.functions.formats import BLOB_OVER, FORMATS
 from typeloom.operators.shared import kept
 from typeloom.plans.emit import Document
 from typeloom.plans.fold import Folder
@@ -169,8 +169,8 @@ class _Walk:
     def _joined(self, state: Node, key: str) -> Node:
         return self.folder.join(state, self.nodes[key])
 
-    def run(self) -> Node:
-        state, here = NEVER, None
+    def run(self, state: Node = NEVER) -> Node:
+        here = None
         ahead = self._ask(None)
         passed: set[str] = set()  # keys whose next place isn't known
         while ahead or passed:
@@ -198,14 +198,14 @@ class _Walk:
         return self.firsts(place)
 
 
-def fold_stream(lines: DataFrame, context: Context) -> Node:
-    """The type of all records of one source, in order."""
+def fold_stream(lines: DataFrame, context: Context, start: Node = NEVER) -> Node:
+    """The type of all records of one source, in order, added to what was before them."""
     table = kept(lines.select("block", "id", "line").mapInArrow(_structures(context), "block long, id long, key string, node string"))
     distinct = table.where("node IS NOT NULL").groupBy("key").agg(F.first("node").alias("node"))
     folder = Folder(context)
     some = distinct.limit(MOST_STRUCTURES + 1).toArrow()
     if some.num_rows > MOST_STRUCTURES:
-        return _in_order(table, distinct, folder)
+        return _in_order(table, distinct, folder, start)
     nodes = {k: decode(n) for k, n in zip(some.column("key").to_pylist(), some.column("node").to_pylist())}
 
     def firsts(place):
@@ -214,9 +214,9 @@ def fold_stream(lines: DataFrame, context: Context) -> Node:
         return {r["key"]: (r["p"]["block"], r["p"]["id"]) for r in rows}
 
     try:
-        return _Walk(folder, nodes, firsts).run()
+        return _Walk(folder, nodes, firsts).run(start)
     except _Restless:
-        return _in_order(table, distinct, folder)
+        return _in_order(table, distinct, folder, start)
 
 
 # ---------------------------------------------------------------- rows of plain columns
@@ -229,7 +229,10 @@ def _text_code(c: Column, context: Context) -> Column:
     """A number that holds what folding sees of a text: the formats that it has, and whether it is long."""
     bits = [f.column(c) for f in context.formats] + [f.evidence_column(c) for f in context.formats if f.evidence]
     long = F.octet_length(F.encode(c, "UTF-16BE")) / 2 > BLOB_OVER
-    return sum((F.when(b, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, b in enumerate([*bits, long])), F.lit(1).cast("long") * (1 << len(bits) + 1))
+    told = sum((F.when(b, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, b in enumerate([*bits, long])), F.lit(1).cast("long") * (1 << len(bits) + 1))
+    # Single letters and digits have none of the formats, nor are they long.
+    plain = F.length(c).isin(1) & F.ascii(c).between(48, 122) & ~F.ascii(c).between(58, 64) & ~F.ascii(c).between(91, 96)
+    return F.when(plain, F.lit(1).cast("long")).otherwise(told) if context.formats == FORMATS else told
 
 
 def column_codes(df: DataFrame, context: Context) -> list[Column] | None:
@@ -241,7 +244,9 @@ def column_codes(df: DataFrame, context: Context) -> list[Column] | None:
         c, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
         if kind in _TIMES:  # the text that JSON has for it
             shown = F.to_json(F.struct(c.alias("v")))
-            text = F.when(c.isNotNull(), F.substring(shown, 7, F.length(shown) - 8))
+            # Years of four digits all have the same shape of text.
+            usual = F.year(c).between(1000, 9999)
+            text = F.when(c.isNotNull() & ~usual, F.substring(shown, 7, F.length(shown) - 8))
         elif kind in ("float", "double"):  # without a number, JSON has their names
             text = F.when(F.isnan(c) | (F.abs(c) == float("inf")), c.cast("string"))
         elif kind == "string":
@@ -255,7 +260,7 @@ def column_codes(df: DataFrame, context: Context) -> list[Column] | None:
         elif text is None:
             code = c.isNotNull().cast("long")
         else:
-            code = F.when(text.isNotNull(), _text_code(text, context)).otherwise(c.isNotNull().cast("long"))
+            code = F.when(text.isNotNull(), _text_code(text, context)).otherwise(c.isNotNull().cast("long") * 3)
         out.append(code.alias(f"c{k}"))
     return out
 
@@ -312,9 +317,8 @@ def fold_table(df: DataFrame, context: Context) -> Node | None:
         return None
 
 
-def _in_order(table: DataFrame, distinct: DataFrame, folder: Folder) -> Node:
+def _in_order(table: DataFrame, distinct: DataFrame, folder: Folder, state: Node) -> Node:
     """The plain fold over sorted structures, a partition at a time."""
-    state: Node = NEVER
     ordered = table.select("block", "id", "key").join(distinct, "key").orderBy("block", "id").select("node")
     for row in ordered.toLocalIterator(prefetchPartitions=True):
         state = folder.join(state, decode(row.node))
