@@ -40,7 +40,6 @@ from typeloom.llm.common import LOWER, SPLIT_SPACE, chunks, crc_mod, cut, join_t
 
 HEAD = 1 << 19
 SAMPLE = 800
-CLASSES, OWN = 96, 64
 DIM = 16
 SPAN, STRIDE = 40, 32
 #: A row of weights is at most WIDE values; moves are multiples of GRAIN, so that their sums don't depend on the order.
@@ -93,17 +92,6 @@ class Subwords:
         return ids, np.concatenate(([0], np.cumsum(n)))[at]
 
 
-def classes_of(counts: np.ndarray) -> np.ndarray:
-    """A class for each id: the OWN most frequent are classes of their own, the others share the rest by mass."""
-    order = np.argsort(-counts, kind="stable")
-    cls = np.zeros(len(counts), np.int64)
-    cls[order[:OWN]] = np.arange(OWN)
-    rest = order[OWN:]
-    mass = np.cumsum(counts[rest] + 1e-3)
-    cls[rest] = OWN + np.minimum((mass / mass[-1] * (CLASSES - OWN)).astype(np.int64), CLASSES - OWN - 1)
-    return cls
-
-
 def windows(starts: np.ndarray, span: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts whose places start at starts (and the end): each window's first scored place, its text's first place, its end."""
     n = np.diff(starts)
@@ -178,11 +166,11 @@ class Attention:
     Before any learning the tree's biases give each id its share of counts.
     """
 
-    def __init__(self, n_ids: int, cls: np.ndarray, counts: np.ndarray | None = None, seed: int = 3):
+    def __init__(self, n_ids: int, counts: np.ndarray, seed: int = 3):
         r = np.random.default_rng(seed)
         f = lambda *s, a=0.3: r.normal(0, a, s).astype(np.float32)
         self.n_ids = n_ids
-        self.tree = Tree(1.0 / np.bincount(cls)[cls] if counts is None else counts + 0.5)
+        self.tree = Tree(counts + 0.5)
         self.w = {"emb": f(n_ids + 1, DIM, a=0.5), "q": f(DIM, DIM), "k": f(DIM, DIM), "v": f(DIM, DIM), "far": np.zeros((SPAN, 1), np.float32), "own": np.eye(DIM, dtype=np.float32), "node": np.zeros((n_ids - 1, DIM + 1), np.float32)}
         self.w["node"][:, DIM] = self.tree.bias
         self.s = {k: np.ones_like(v) for k, v in self.w.items()}
@@ -279,8 +267,8 @@ class Attention:
             w[rows[mine] - base] += moves[mine, : w.shape[1]].astype(np.float32)
             base += len(w)
 
-    def tables(self, share: np.ndarray | None = None) -> dict:
-        """What scoring needs: queries, keys, values of each id and the start, and the tree. The tree's biases hold the share."""
+    def tables(self) -> dict:
+        """What scoring needs: queries, keys, values of each id and the start, and the tree."""
         w = self.w
         e = w["emb"]
         q = e @ w["q"] * np.float32(DIM**-0.5)
@@ -459,7 +447,7 @@ def score(docs: DataFrame, path: str, pattern: str, head_size: int = HEAD, sampl
     by_id[np.where(at < 0, n_ids - 1, at)] = ids.column("c").to_numpy()
     docs_in = int(by_id[-1])
     some = train.select("doc_id", text).where(F.length("t") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
-    model = Attention(n_ids, classes_of(by_id), by_id)
+    model = Attention(n_ids, by_id)
     if some.num_rows:
         model.train(*Subwords(raw, pattern)(some.column("t").to_pylist()))
     _learn(model, train.select("doc_id", text), lines, pattern)
