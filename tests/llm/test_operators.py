@@ -622,6 +622,28 @@ def test_bpe_tells_words_that_share_a_hash(spark, monkeypatch):
     monkeypatch.undo()
 
 
+# ---------------------------------------------------------------- stages' rows
+
+
+def test_stages_keep_all_columns(spark):
+    """Columns with names that the stages use themselves come out as they went in, also for null ids, empty texts and repeated rows."""
+    names = ["n_lines", "_h", "_id", "_gone", "__t", "beside", "row", "th", "gone", "i", "h", "n", "Beside0"]
+    texts = [(1, "one two three four five six"), (2, None), (2, None), (3, ""), (None, "lost words"), (4, "alpha beta gamma\n\ndelta")]
+    rows = [(d, t, *(f"{k}{j}" for j in range(len(names)))) for k, (d, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    items = spark.createDataFrame([("x", "nothing of that kind")], "item_id string, text string")
+    want = sorted(map(repr, map(tuple, rows)))
+    for name, out in {"toxicity": toxicity.reject(docs, labels.limit(0)), "lines": line_dedup.thin(docs), "near": near_dup.keep_one(docs), "leaks": decontaminate.reject(docs, items)}.items():
+        assert out.columns == docs.columns, name
+        got = sorted(map(repr, map(tuple, out.collect())))
+        assert got == want, name
+    for stage in (lambda d: toxicity.reject(d, labels), line_dedup.thin, near_dup.keep_one, lambda d: decontaminate.reject(d, items)):
+        assert stage(docs.limit(0)).count() == 0
+    lines = line_dedup.dedup_lines(docs)
+    assert [c for c in lines.columns if c == "n_lines"] == ["n_lines"] and dict(lines.dtypes)["n_lines"] == "bigint" and lines.count() == 6
+
+
 # ---------------------------------------------------------------- the pipeline
 
 
