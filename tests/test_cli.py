@@ -113,3 +113,14 @@ def test_latest_states(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("states").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.file: json.loads(r.state) for r in spark.table("states").collect()} == {1: {"m": [5]}, 2: {"n": 1}}
+
+
+def test_manifest_schema():
+    from typeloom.plans.settings import PARAMETERS
+    from typeloom.sources.manifest import KEYS, json_schema
+
+    target = json.loads(json.dumps(json_schema()))["properties"]["targets"]["items"]
+    options = target["properties"]["options"]["properties"]
+    assert set(options) == {*KEYS, "plugins", "parameters"} and target["required"] == ["name", "input", "output"]
+    assert {k: v["default"] for k, v in options["parameters"]["properties"].items()} == PARAMETERS
+    assert "copilot-cli" in options["plugins"]["items"]["enum"]

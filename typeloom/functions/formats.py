@@ -30,6 +30,7 @@ PATTERNS = {
 }
 #: A text of which even the shortest is longer than this is a Blob.
 BLOB_OVER = 50
+# The families that model ids begin with.
 MODEL_FAMILIES = "claude codestral deepseek devstral gemini glm gpt grok kimi llama mistral o qwen".split()
 
 

@@ -88,6 +88,7 @@ def _by_mid(node: Node, under: str) -> Match | None:
     return Match(name, True) if name else None
 
 
+# The scopes, names and fields that the built-in plug-ins hint at.
 _TOOL_RESULTS = "CopilotChat_1_V_Variant_Metadata_ToolCallResults_Value_Content"
 VSCODE = Plugin("vscode", ("$mid",), ((_TOOL_RESULTS, "Children_1"), (_TOOL_RESULTS, "Children_2")), ("UserSelectedTools", "modelMetrics"), match=_by_mid)
 COPILOT_CLI = Plugin("copilot-cli", record_hints=(RecordHint("modelMetrics", "ModelId"),), formats=(MODEL_ID,))

@@ -7,7 +7,7 @@ import os
 from dataclasses import dataclass
 from pathlib import Path
 
-from typeloom.plans.settings import Options, plugins_by_name, with_parameters
+from typeloom.plans.settings import PARAMETERS, PLUGINS, Options, plugins_by_name, with_parameters
 
 #: Names of manifests that are looked for; find() takes others.
 NAMES = ("typeloom.json",)
@@ -93,3 +93,24 @@ def parse(text: str) -> list[Target]:
 
 def load(path: str) -> list[Target]:
     return parse(Path(path).read_text(encoding="utf-8"))
+
+
+def json_schema() -> dict:
+    """A JSON schema of manifests, for editors: made of the option names, plug-ins and parameters that there are."""
+    words = {"type": "array", "items": {"type": "string"}}
+    record_hint = {"oneOf": [{"type": "string"}, {"type": "object", "required": ["field", "key"], "properties": {"field": {"type": "string"}, "key": {"type": "string"}}}]}
+    kinds = {
+        "root_name": {"type": "string"}, "user_tag": {"type": "string"}, "header": {"type": "string"}, "tag_hints": words, "adapters": words,
+        "dedup_hints": {"type": "array", "items": {"type": "array", "items": {"type": "string"}, "minItems": 2, "maxItems": 2}}, "record_hints": {"type": "array", "items": record_hint},
+    }
+    options = {outer: kinds[inner] for outer, inner in KEYS.items()}
+    options["plugins"] = {"type": "array", "items": {"type": "string", "enum": sorted(PLUGINS)}}
+    options["parameters"] = {"type": "object", "additionalProperties": False, "properties": {k: {"type": "integer", "minimum": 0, "default": v} for k, v in PARAMETERS.items()}}
+    target = {
+        "type": "object", "required": ["name", "input", "output"],
+        "properties": {
+            "name": {"type": "string", "minLength": 1}, "output": {"type": "string", "minLength": 1},
+            "input": {"oneOf": [{"type": "string"}, words]}, "options": {"type": "object", "properties": options},
+        },
+    }
+    return {"$schema": "http://json-schema.org/draft-07/schema#", "type": "object", "required": ["targets"], "properties": {"targets": {"type": "array", "items": target}}}
