@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -201,6 +202,45 @@ def test_all_training_rows_are_learnt_from(spark, monkeypatch):
     assert len({round(x, 9) for x in whole}) == 2 and sum(whole) > sum(first) + 4 * len(rows)
 
 
+def test_texts_are_read_and_split_once(spark, tmp_path):
+    """Counts, first weights, learning and scores all use the ids that one pass has stored."""
+    path, pattern, log = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, str(tmp_path / "read")
+
+    def noted(text):
+        with open(log, "a") as f:
+            f.write("x")
+        return text
+
+    texts = [None, "", "red fox", "blue whale \u6f22"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = docs.select("doc_id", F.udf(noted, "string").asNondeterministic()("text").alias("text"))
+    assert lm_score.score(docs, path, pattern, sample=3).count() == len(texts)
+    assert os.path.getsize(log) == len(texts)
+
+
+@pytest.mark.parametrize("root, block", [(3, 4), (16, 32)])
+def test_blocks_of_nodes_learn_as_single_nodes(monkeypatch, root, block):
+    """Whatever nodes are in blocks, the weights that learning gives are those of one block of all nodes, and all ways hold the same nodes."""
+    n, r = 300, np.random.default_rng(4)
+    by = r.integers(0, 50, n).astype(float)
+    ids, starts = r.integers(0, n - 1, 900), np.array([0, 1, 300, 300, 900])
+    models = []
+    for a, b in ((n, 1), (root, block)):
+        monkeypatch.setattr(lm_score, "ROOT", a)
+        monkeypatch.setattr(lm_score, "BLOCK", b)
+        models.append(lm_score.Attention(n, by))
+        models[-1].train(ids, starts, steps=None, batch=7)
+    one, other = models
+    assert (np.sort(other.tree.number) == np.arange(n - 1)).all() and (other.tree.lower.max() > 0) == (root == 3)
+    for name in one.w:
+        x, y, met, seen = one.w[name], other.w[name], one.met[name], other.met[name]
+        if name == "node":
+            x, y, met, seen = (v[m.tree.number] for v, m in ((x, one), (y, other), (met, one), (seen, other)))
+        assert np.allclose(x, y, atol=1e-4) and (met == seen).all()
+    for i in range(n):
+        assert np.allclose(one.tree.paths(np.array([i]))[1], other.tree.paths(np.array([i]))[1])
+
+
 # ---------------------------------------------------------------- 3
 
 
