@@ -124,16 +124,17 @@ def _mask(span: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 HIDE, GAP = _mask(SPAN, STRIDE)
+#: Up to this size no weight of a key, nor a sum of them, is too large or small for a float.
+SAFE = 60
 BACK, ONES = np.arange(STRIDE - SPAN, STRIDE), np.ones((SPAN, 1), np.float32)
 
 
-def _attend(z: np.ndarray, far: np.ndarray, keys: np.ndarray, first: np.ndarray, low: np.ndarray) -> None:
-    """Makes scores z of keys their weights, not yet divided by their sums: far is added, keys before low are left out."""
-    large = max(z.max(), -z.min()) + np.abs(far[far > -np.inf]).max() > 60
+def _attend(z: np.ndarray, far: np.ndarray, keys: np.ndarray, first: np.ndarray, low: np.ndarray, large: bool) -> None:
+    """Makes scores z of keys their weights, not yet divided by their sums: far is added, keys before low are left out; large: some may be beyond SAFE."""
     z += far
     near = np.flatnonzero(first - low < SPAN - STRIDE)
     z[near] += np.where(keys[near] >= low[near, None], np.float32(0), np.float32(-np.inf))[:, None, :]
-    if large:  # else no weight or sum of them is too large or small for a float
+    if large:
         z -= z.max(-1, keepdims=True)
     np.exp(z, out=z)
 
@@ -331,7 +332,8 @@ class Attention:
         q, k, v, own = (made[..., i : i + DIM] for i in range(0, 4 * DIM, DIM))
         q, own = q[:, SPAN - STRIDE :], own[:, SPAN - STRIDE :]
         a = np.matmul(q, k.transpose(0, 2, 1))
-        _attend(a, w["far"][gap, 0] + hide, keys, first, low)
+        large = max(a.max(), -a.min()) + np.abs(w["far"]).max() > SAFE
+        _attend(a, w["far"][gap, 0] + hide, keys, first, low, large)
         a /= a @ ONES
         h = np.matmul(a, v)
         pure = h + own
@@ -455,6 +457,8 @@ def score_ids(t: dict, ids: np.ndarray, starts: np.ndarray, batch: int = 64) ->
     inputs, targets, at = places(ids, starts, len(t["q"]) - 1)
     first, low, high = windows(at, SPAN, STRIDE)
     far = t["far"][GAP] + HIDE
+    # By the model alone, so that equal texts are scored alike.
+    large = np.linalg.norm(t["q"], axis=1).max() * np.linalg.norm(t["k"], axis=1).max() + np.abs(t["far"]).max() > SAFE
     place, tree = np.zeros(len(inputs)), t["tree"]
     for lo in range(0, len(first), batch):
         f = first[lo : lo + batch]
@@ -462,7 +466,7 @@ def score_ids(t: dict, ids: np.ndarray, starts: np.ndarray, batch: int = 64) ->
         kc = inputs.take(keys, mode="clip")
         qc = kc[:, SPAN - STRIDE :]
         z = np.matmul(t["q"].take(qc, 0), t["k"].take(kc, 0).transpose(0, 2, 1))
-        _attend(z, far, keys, f, low[lo : lo + batch])
+        _attend(z, far, keys, f, low[lo : lo + batch], large)
         h = np.matmul(z, t["v"].take(kc, 0))
         h /= z @ ONES
         h += t["own"].take(qc, 0)
