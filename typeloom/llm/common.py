@@ -48,11 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def stash(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """df written as a table (smaller than checkpoint's rows) to the shared folder, and what deletes it."""
+def stash(df: DataFrame, **options) -> tuple[DataFrame, Callable[[], None]]:
+    """df written as a table (smaller than checkpoint's rows) to the shared folder, with the writer's options, and what deletes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -39,6 +39,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,8 @@ SPAN, STRIDE = 40, 32
 WIDE, GRAIN = DIM + 1, np.float32(2**-16)
 #: Nodes of the tree in the block at its root and in each below it: their products with many places are one matrix product.
 ROOT, BLOCK = 16, 32
+#: Writer's options that keep executors' memory small: groups of rows of 16 MB, no tables of distinct texts.
+SMALL = {"parquet.block.size": 16 << 20, "parquet.enable.dictionary": "false"}
 #: Sixteenths of the training rows at which the rounds of learning end.
 ROUNDS = (1, 4, 16)
 
@@ -504,15 +507,23 @@ def _word_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "c"])
 
 
+def _parts(column: pa.Array):
+    """Slices of a column of bytes as chunks() has them; only their lengths are read."""
+    return chunks([range(n or 0) for n in pc.binary_length(column).to_pylist()])
+
+
+def _bytes(column: pa.Array, lo: int, hi: int) -> list[bytes]:
+    return [x or b"" for x in column.slice(lo, hi - lo).to_pylist()]
+
+
 def _split(lines, pattern: str, kind):
     """Rows (doc_id, t) with their subword ids as bytes: each text is split once for the whole job."""
 
     def run(batches):
         subwords = Subwords(lines.value, pattern)
         for b in batches:
-            texts = [x.as_py() or b"" for x in b.column(1)]
-            for lo, hi in chunks(texts):
-                ids, at = subwords(texts[lo:hi])
+            for lo, hi in _parts(b.column(1)):
+                ids, at = subwords(_bytes(b.column(1), lo, hi))
                 data = ids.astype(kind).tobytes()
                 at = (at * np.dtype(kind).itemsize).tolist()
                 packed = pa.array([data[x:y] for x, y in zip(at, at[1:])], pa.binary())
@@ -531,10 +542,9 @@ def _id_counts(kind):
     def run(batches):
         total, ends = np.zeros(0, np.int64), 0
         for b in batches:
-            packed = [x.as_py() for x in b.column(0)]
-            ends += len(packed)
-            for lo, hi in chunks(packed):
-                c = np.bincount(_unpacked(packed[lo:hi], kind)[0], minlength=len(total))
+            ends += b.num_rows
+            for lo, hi in _parts(b.column(0)):
+                c = np.bincount(_unpacked(_bytes(b.column(0), lo, hi), kind)[0], minlength=len(total))
                 c[: len(total)] += total
                 total = c
         some = np.flatnonzero(total)
@@ -550,9 +560,8 @@ def _learned(model, kind):
         old = model.value
         new, part = old.copy(), 0
         for b in batches:
-            packed = [x.as_py() for x in b.column(0)]
-            for lo, hi in chunks(packed):
-                new.train(*_unpacked(packed[lo:hi], kind), steps=None, batch=64, seed=part)
+            for lo, hi in _parts(b.column(0)):
+                new.train(*_unpacked(_bytes(b.column(0), lo, hi), kind), steps=None, batch=64, seed=part)
                 part += 1
         rows, n, moves = new.moved(old)
         for lo in range(0, len(rows), 8192):
@@ -604,9 +613,8 @@ def _scored(tables, head, kind):
         t = tables.value
         known, logs = head.value
         for b in batches:
-            texts, packed = [x.as_py() or b"" for x in b.column(1)], [x.as_py() for x in b.column(2)]
-            for lo, hi in chunks(texts):
-                h, at = tokens_of(texts[lo:hi])
+            for lo, hi in _parts(b.column(1)):
+                h, at = tokens_of(_bytes(b.column(1), lo, hi))
                 k = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 found = known[k] == h
                 doc = np.repeat(np.arange(hi - lo), np.diff(at))
@@ -614,7 +622,7 @@ def _scored(tables, head, kind):
                 n_found = np.bincount(doc[found], minlength=hi - lo)
                 rare = np.flatnonzero(~found)
                 rare_at = np.searchsorted(rare, at)
-                model = score_ids(t, *_unpacked(packed[lo:hi], kind))
+                model = score_ids(t, *_unpacked(_bytes(b.column(2), lo, hi), kind))
                 lists = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(h[rare].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at) + 1), pa.array(n_found), pa.array(part), pa.array(model), lists], ["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
 
@@ -630,7 +638,7 @@ def score(docs: DataFrame, path: str, pattern: str, head_size: int = HEAD, sampl
     kind = np.uint16 if n_ids <= 1 << 16 else np.uint32
     type_of_id = dict(docs.dtypes)["doc_id"]
     text = F.col("text").cast("binary").alias("t")
-    split, done = stash(docs.select("doc_id", text).mapInArrow(_split(lines, pattern, kind), f"doc_id {type_of_id}, t binary, ids binary"))
+    split, done = stash(docs.select("doc_id", text).mapInArrow(_split(lines, pattern, kind), f"doc_id {type_of_id}, t binary, ids binary"), **SMALL)
     train = split.where(~held_out(F.col("doc_id")))
     counts = cut(train.select("t").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     ids = train.select("ids").mapInArrow(_id_counts(kind), "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()
